@@ -240,7 +240,8 @@ def _stats(pdfs: Iterator[pd.DataFrame], spaces: bool, model: Model | None) -> I
                 for i, j in _isolated(lat):
                     v = lat.value(i, j)
                     acc["s", shape(v)] += 1
-                    acc["spaced" if " " in v else "solid", ""] += 1
+                    if len(lat.starts) > 1 or lat.quoted[0]:  # else the whole field is one stretch, which tells nothing
+                        acc["spaced" if " " in v else "solid", ""] += 1
                 continue
             cuts, other = best(lat, model.score, model, None if count is None or math.isnan(count) else int(count))
             w = 1.0 - other
@@ -268,7 +269,7 @@ def learn(rows: DataFrame, rounds: int = 2) -> tuple[Model, bool]:
     """The column's model after some rounds of expectation-maximisation over all its rows, and whether spaces part
     values. rows: (text, n)."""
     shapes, _, kinds = _gather(rows, False, None)
-    spaces = kinds.get("solid", 0) > 20 * kinds.get("spaced", 0)
+    spaces = kinds.get("solid", 0) > 5 * kinds.get("spaced", 0)
     model = Model(shapes, {"C": (8.0, 10.0), "A": (8.0, 10.0), "B": (9.0, 10.0), "M": (9.0, 10.0), "/": (9.0, 10.0), "S": (10.0, 10.0)})
     for _ in range(rounds):
         shapes, borders, _ = _gather(rows, spaces, model)
