@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.common import table
-from folioscope.llm import mojibake
+from folioscope.llm import mojibake, reading
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -24,5 +24,22 @@ def p5_chains(spark: SparkSession, d: str) -> DataFrame:
     return p5_restored(spark, d).groupBy("src_field", "chain").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_restored, p5_chains)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """English documents of at least 60 words with their reading level."""
+    return reading.english_levels(table(spark, d, "documents"), table(spark, d, "reading_labels"))
+
+
+def p9_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with its reading level and the posterior of that level."""
+    return reading.levels(table(spark, d, "documents"), table(spark, d, "reading_labels"))
+
+
+def p9_by_source(spark: SparkSession, d: str) -> DataFrame:
+    """Documents by source and level."""
+    docs = table(spark, d, "documents")
+    lv = reading.levels(docs, table(spark, d, "reading_labels"))
+    return docs.select("doc_id", "source").join(lv, "doc_id").groupBy("source", "reading_level").agg(F.count(F.lit(1)).alias("n"))
+
+
+QUERIES = {f.__name__: f for f in (p5_found, p5_restored, p5_chains, p9_found, p9_levels, p9_by_source)}
 SQL: dict[str, str] = {}
