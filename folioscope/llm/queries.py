@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.common import table
-from folioscope.llm import mojibake, reading
+from folioscope.llm import mixing, mojibake, packing, reading
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -24,6 +24,27 @@ def p5_chains(spark: SparkSession, d: str) -> DataFrame:
     return p5_restored(spark, d).groupBy("src_field", "chain").agg(F.count(F.lit(1)).alias("n"))
 
 
+def p7_assignment(spark: SparkSession, d: str) -> DataFrame:
+    """Every document in a container of each kind."""
+    return packing.assign(table(spark, d, "documents"), table(spark, d, "container_sizes"))
+
+
+def p7_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Containers, room and unused share by kind."""
+    kinds = table(spark, d, "container_sizes")
+    return packing.summary(packing.assign(table(spark, d, "documents"), kinds), kinds)
+
+
+def p8_sample(spark: SparkSession, d: str) -> DataFrame:
+    """The documents drawn for each mix, with their number of copies."""
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    """Target and actual shares of the sources of each mix."""
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     """English documents of at least 60 words with their reading level."""
     return reading.english_levels(table(spark, d, "documents"), table(spark, d, "reading_labels"))
@@ -41,5 +62,5 @@ def p9_by_source(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", "source").join(lv, "doc_id").groupBy("source", "reading_level").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_restored, p5_chains, p9_found, p9_levels, p9_by_source)}
+QUERIES = {f.__name__: f for f in (p5_found, p5_restored, p5_chains, p7_assignment, p7_summary, p8_sample, p8_report, p9_found, p9_levels, p9_by_source)}
 SQL: dict[str, str] = {}
