@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.common import table
-from folioscope.llm import mixing, mojibake, packing, reading
+from folioscope.llm import mixing, mojibake, names, packing, reading
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -24,6 +24,20 @@ def p5_chains(spark: SparkSession, d: str) -> DataFrame:
     return p5_restored(spark, d).groupBy("src_field", "chain").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _classes(spark: SparkSession, d: str) -> DataFrame:
+    return names.clusters(*[table(spark, d, t) for t in ("persons", "authorship", "nicknames")])
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of person ids of the same person or organisation."""
+    return names.pairs(_classes(spark, d))
+
+
+def p6_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Every person id with the class it belongs to."""
+    return _classes(spark, d)
+
+
 def p7_assignment(spark: SparkSession, d: str) -> DataFrame:
     """Every document in a container of each kind."""
     return packing.assign(table(spark, d, "documents"), table(spark, d, "container_sizes"))
@@ -62,5 +76,5 @@ def p9_by_source(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", "source").join(lv, "doc_id").groupBy("source", "reading_level").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_restored, p5_chains, p7_assignment, p7_summary, p8_sample, p8_report, p9_found, p9_levels, p9_by_source)}
+QUERIES = {f.__name__: f for f in (p5_found, p5_restored, p5_chains, p6_found, p6_classes, p7_assignment, p7_summary, p8_sample, p8_report, p9_found, p9_levels, p9_by_source)}
 SQL: dict[str, str] = {}
