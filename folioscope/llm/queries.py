@@ -6,7 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.common import table
-from folioscope.llm import mixing, mojibake, names, packing, reading
+from folioscope.llm import linkage, mixing, mojibake, names, packing, reading
+
+
+def _three(spark: SparkSession, d: str) -> list[DataFrame]:
+    return [table(spark, d, t) for t in ("papers", "aminer_papers", "venues")]
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Papers and records of the other source that are the same work."""
+    return linkage.found(*_three(spark, d))
+
+
+def p3_confidence(spark: SparkSession, d: str) -> DataFrame:
+    """All candidate pairs with their confidence."""
+    return linkage.link(*_three(spark, d))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -76,5 +90,5 @@ def p9_by_source(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", "source").join(lv, "doc_id").groupBy("source", "reading_level").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_restored, p5_chains, p6_found, p6_classes, p7_assignment, p7_summary, p8_sample, p8_report, p9_found, p9_levels, p9_by_source)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_confidence, p5_found, p5_restored, p5_chains, p6_found, p6_classes, p7_assignment, p7_summary, p8_sample, p8_report, p9_found, p9_levels, p9_by_source)}
 SQL: dict[str, str] = {}
