@@ -1,0 +1,9 @@
+"""Fixed, explicit schemas of the star that all analytic operators work on."""
+
+PAPERS = "paper_id long, venue_id int, is_conference boolean, year int, title string, h2 string, h3 string, ref_id string, cites string, abstract string, doi_url string, cited_count int"
+PERSONS = "person_id long, name string, gender string"
+VENUES = "venue_id int, acronym string, name string, impact int, is_conference boolean"
+AUTHORSHIP = "paper_id long, person_id long, pos int"
+CITATIONS = "src long, dst long"
+PC = "person_id long, venue_id int, year int, role string"
+DOC_TOPICS = "paper_id long, topic int, cnt long"
