@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions.scalar import seven_plus, short_role, team_size
@@ -11,19 +11,22 @@ from folioscope.operators.relational import top_percent, zero_filled
 from folioscope.operators.star import Star
 from folioscope.plans._sql import STAR
 
-N = F.count(F.lit(1))
+
+
+def count_rows(name: str) -> Column:
+    return F.count(F.lit(1)).alias(name)
 
 
 def papers_per_year_zero_filled(spark: SparkSession, d: str) -> DataFrame:
-    got = Star(spark, d).papers.groupBy("year").agg(N.alias("papers"))
+    got = Star(spark, d).papers.groupBy("year").agg(count_rows("papers"))
     return zero_filled(got, "year", 1970, 2029, "papers", spark)
 
 
 def growth_first_seen(spark: SparkSession, d: str) -> DataFrame:
     """Papers and people who first appear, by year; people of unknown years don't count."""
     s = Star(spark, d)
-    first = s.slots.filter("year is not null").groupBy("person_id").agg(F.min("year").alias("year")).groupBy("year").agg(N.alias("new_authors"))
-    papers = s.papers.filter("year is not null").groupBy("year").agg(N.alias("papers"))
+    first = s.slots.filter("year is not null").groupBy("person_id").agg(F.min("year").alias("year")).groupBy("year").agg(count_rows("new_authors"))
+    papers = s.papers.filter("year is not null").groupBy("year").agg(count_rows("papers"))
     return papers.join(first, "year", "left").select("year", "papers", F.coalesce("new_authors", F.lit(0)).alias("new_authors"))
 
 
@@ -33,8 +36,8 @@ def growth_after(spark: SparkSession, d: str, min_year: int = 1992, max_year: in
     s = Star(spark, d)
     inside = F.col("year").between(min_year + 1, max_year)
     a = s.slots.filter(inside)
-    first = a.groupBy("person_id").agg(F.min("year").alias("year")).groupBy("year").agg(N.alias("new_authors"))
-    p = s.papers.filter(inside).groupBy("year").agg(N.alias("papers"))
+    first = a.groupBy("person_id").agg(F.min("year").alias("year")).groupBy("year").agg(count_rows("new_authors"))
+    p = s.papers.filter(inside).groupBy("year").agg(count_rows("papers"))
     start = p.agg(F.min("year").alias("start"))
     return p.join(first, "year", "left").join(F.broadcast(start), F.col("year") > F.col("start")).select("year", "papers", F.coalesce("new_authors", F.lit(0)).alias("new_authors"))
 
@@ -49,7 +52,7 @@ def papers_by_venue_type(spark: SparkSession, d: str) -> DataFrame:
     s = Star(spark, d)
     out = None
     for which in ("conferences", "journals", "all"):
-        x = s.permitted(s.papers, which).agg(N.alias("papers")).select(F.lit(which).alias("permitted"), "papers")
+        x = s.permitted(s.papers, which).agg(count_rows("papers")).select(F.lit(which).alias("permitted"), "papers")
         out = x if out is None else out.unionByName(x)
     return out
 
@@ -57,7 +60,7 @@ def papers_by_venue_type(spark: SparkSession, d: str) -> DataFrame:
 def author_paper_cite_counts(spark: SparkSession, d: str, min_year: int = 2000) -> DataFrame:
     """Papers and citations since min_year of every author; those with no such paper remain with 0."""
     s = Star(spark, d)
-    got = s.slots.filter(F.col("year") >= min_year).groupBy("person_id").agg(N.alias("papers"), F.sum(F.coalesce("cited_count", F.lit(0))).alias("cites"))
+    got = s.slots.filter(F.col("year") >= min_year).groupBy("person_id").agg(count_rows("papers"), F.sum(F.coalesce("cited_count", F.lit(0))).alias("cites"))
     everyone = s.authorship.select("person_id").distinct()
     return everyone.join(got, "person_id", "left").select("person_id", F.coalesce("papers", F.lit(0)).alias("papers"), F.coalesce("cites", F.lit(0)).alias("cites"))
 
@@ -75,21 +78,21 @@ def top_cited_authors_named(spark: SparkSession, d: str) -> DataFrame:
 
 def local_citations_per_author(spark: SparkSession, d: str) -> DataFrame:
     s = Star(spark, d)
-    local = s.citations.groupBy(F.col("dst").alias("paper_id")).agg(N.alias("c"))
-    return s.authorship.join(local, "paper_id", "left").groupBy("person_id").agg(N.alias("papers"), F.sum(F.coalesce("c", F.lit(0))).alias("local_cites"))
+    local = s.citations.groupBy(F.col("dst").alias("paper_id")).agg(count_rows("c"))
+    return s.authorship.join(local, "paper_id", "left").groupBy("person_id").agg(count_rows("papers"), F.sum(F.coalesce("c", F.lit(0))).alias("local_cites"))
 
 
 def local_cites(spark: SparkSession, d: str) -> DataFrame:
     """Times each paper is cited within the corpus; repeated references count each time."""
     s = Star(spark, d)
-    c = s.citations.groupBy(F.col("dst").alias("paper_id")).agg(N.alias("local_cites"))
+    c = s.citations.groupBy(F.col("dst").alias("paper_id")).agg(count_rows("local_cites"))
     return s.papers.select("paper_id").join(c, "paper_id", "left").select("paper_id", F.coalesce("local_cites", F.lit(0)).alias("local_cites"))
 
 
 def citation_list(spark: SparkSession, d: str) -> DataFrame:
     """Adjacency: the works that each paper cites, in order."""
     s = Star(spark, d)
-    return s.citations.groupBy("src").agg(F.array_join(F.sort_array(F.collect_list("dst")), ",").alias("cited"), N.alias("n"))
+    return s.citations.groupBy("src").agg(F.array_join(F.sort_array(F.collect_list("dst")), ",").alias("cited"), count_rows("n"))
 
 
 def harmonic_contribution(spark: SparkSession, d: str) -> DataFrame:
@@ -132,7 +135,7 @@ def directed_pairs_by_venue(spark: SparkSession, d: str) -> DataFrame:
     s = Star(spark, d)
     a = s.slots.filter("venue_id is not null")
     x, y = a.select("paper_id", "venue_id", F.col("person_id").alias("src"), F.col("pos").alias("i")), a.select("paper_id", F.col("person_id").alias("dst"), F.col("pos").alias("j"))
-    return x.join(y, "paper_id").filter("i < j").groupBy("venue_id", "src", "dst").agg(N.alias("n"))
+    return x.join(y, "paper_id").filter("i < j").groupBy("venue_id", "src", "dst").agg(count_rows("n"))
 
 
 def coauthor_sources(spark: SparkSession, d: str) -> DataFrame:
@@ -177,13 +180,13 @@ def committee_roster(spark: SparkSession, d: str) -> DataFrame:
     s = Star(spark, d)
     x = s.pc.join(s.persons, "person_id").withColumn("short", short_role(F.col("role")))
     members = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("short", "name", "person_id"))), lambda m: F.concat_ws(":", m["short"], m["name"])), "; ")
-    return x.groupBy("venue_id", "year").agg(N.alias("seats"), members.alias("members"))
+    return x.groupBy("venue_id", "year").agg(count_rows("seats"), members.alias("members"))
 
 
 def seats_per_author(spark: SparkSession, d: str) -> DataFrame:
     """Committee seats of every author; those without any have 0."""
     s = Star(spark, d)
-    seats = s.pc.groupBy("person_id").agg(N.alias("seats"))
+    seats = s.pc.groupBy("person_id").agg(count_rows("seats"))
     return s.authorship.select("person_id").distinct().join(seats, "person_id", "left").select("person_id", F.coalesce("seats", F.lit(0)).alias("seats"))
 
 
@@ -191,7 +194,7 @@ def pc_paper_share(spark: SparkSession, d: str) -> DataFrame:
     """Papers with an author on the committee, by conference and year, by conference, and in all (ROLLUP)."""
     s = Star(spark, d)
     x = s.permitted(s.papers, "conferences").filter("year is not null").join(s.pc_papers.withColumn("pc", F.lit(1)), "paper_id", "left")
-    return x.rollup("venue_id", "year").agg(N.alias("papers"), F.count("pc").alias("pc_papers")).withColumn("share", F.round(100.0 * F.col("pc_papers") / F.col("papers"), 2))
+    return x.rollup("venue_id", "year").agg(count_rows("papers"), F.count("pc").alias("pc_papers")).withColumn("share", F.round(100.0 * F.col("pc_papers") / F.col("papers"), 2))
 
 
 def gender_by_year(spark: SparkSession, d: str) -> DataFrame:
@@ -227,34 +230,34 @@ def set_overlap_matrix(spark: SparkSession, d: str) -> DataFrame:
     for k, x in sets.items():
         t = top_percent(x, 0.01, F.desc("x"), F.asc("person_id")).select(F.lit(k).alias("s"), "person_id")
         all_ = t if all_ is None else all_.unionByName(t)
-    return all_.withColumnRenamed("s", "first").join(all_.withColumnRenamed("s", "second"), "person_id").groupBy("first", "second").agg(N.alias("shared"))
+    return all_.withColumnRenamed("s", "first").join(all_.withColumnRenamed("s", "second"), "person_id").groupBy("first", "second").agg(count_rows("shared"))
 
 
 def team_size_share(spark: SparkSession, d: str) -> DataFrame:
     """Share of papers by number of authors, a year."""
     s = Star(spark, d)
-    n = s.slots.filter("year is not null").groupBy("paper_id", "year").agg(N.alias("n"))
-    x = n.groupBy("year", seven_plus(F.col("n")).alias("authors")).agg(N.alias("papers"))
+    n = s.slots.filter("year is not null").groupBy("paper_id", "year").agg(count_rows("n"))
+    x = n.groupBy("year", seven_plus(F.col("n")).alias("authors")).agg(count_rows("papers"))
     return x.withColumn("share", F.round(F.col("papers") / F.sum("papers").over(Window.partitionBy("year")), 2))
 
 
 def cites_by_team_size(spark: SparkSession, d: str, as_of: int = 2017) -> DataFrame:
     """Mean citations a year by number of authors and year."""
     s = Star(spark, d)
-    n = s.slots.filter(F.col("year") < as_of).groupBy("paper_id", "year", "cited_count").agg(N.alias("n"))
+    n = s.slots.filter(F.col("year") < as_of).groupBy("paper_id", "year", "cited_count").agg(count_rows("n"))
     per = F.coalesce("cited_count", F.lit(0)) / (F.lit(as_of) - F.col("year"))
-    return n.groupBy("year", seven_plus(F.col("n")).alias("authors")).agg(F.round(F.avg(per), 6).alias("cites_per_year"), N.alias("papers"))
+    return n.groupBy("year", seven_plus(F.col("n")).alias("authors")).agg(F.round(F.avg(per), 6).alias("cites_per_year"), count_rows("papers"))
 
 
 def team_sizes(spark: SparkSession, d: str) -> DataFrame:
     s = Star(spark, d)
-    n = s.authorship.groupBy("paper_id").agg(N.alias("n"))
-    return n.groupBy(team_size(F.col("n")).alias("team")).agg(N.alias("papers"), F.min("n").alias("least"), F.max("n").alias("most"))
+    n = s.authorship.groupBy("paper_id").agg(count_rows("n"))
+    return n.groupBy(team_size(F.col("n")).alias("team")).agg(count_rows("papers"), F.min("n").alias("least"), F.max("n").alias("most"))
 
 
 def first_authors(spark: SparkSession, d: str) -> DataFrame:
     """Papers that each person leads."""
-    return Star(spark, d).authorship.filter("pos = 1").groupBy("person_id").agg(N.alias("led"))
+    return Star(spark, d).authorship.filter("pos = 1").groupBy("person_id").agg(count_rows("led"))
 
 
 def denormalised_papers(spark: SparkSession, d: str) -> DataFrame:
