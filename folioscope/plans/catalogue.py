@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from folioscope.plans import measures, people, topics
+from folioscope.plans import files, measures, people, topics
 
-_MODULES = [people, topics, measures]
+_MODULES = [people, topics, measures, files]
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in _MODULES for k, s in m.SQL.items()}
