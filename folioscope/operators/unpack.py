@@ -39,6 +39,8 @@ MAX_SPAN = 8
 MIN_SHARE = 1e-5
 #: A row is in doubt when the second-best split is likelier than this.
 DOUBT = 0.02
+#: Weight of an atom that nothing isolates, in the first round.
+ATOM = 0.02
 _EPS = 1e-9
 
 
@@ -237,6 +239,8 @@ def _stats(pdfs: Iterator[pd.DataFrame], spaces: bool, model: Model | None) -> I
         for text, count in zip(pdf["text"], pdf["n"], strict=True):
             lat = Lattice(text, spaces)
             if model is None:
+                for i in range(len(lat.starts)):  # a little for every atom, so that columns without isolated values begin somewhere
+                    acc["s", shape(lat.value(i, i))] += ATOM
                 for i, j in _isolated(lat):
                     v = lat.value(i, j)
                     acc["s", shape(v)] += 1
