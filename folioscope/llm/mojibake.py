@@ -187,6 +187,9 @@ class Judge:
         return least, sizes.index(least)
 
     def letter_bits(self, word: str) -> float:
+        """Code length of the non-ASCII letters of a word; capitals count as the small letters that they stand for."""
+        if len(word) > 2 and word.isupper():
+            word = word.lower()
         return sum(self.letters.get(_kind(a) + b, self.rare) for a, b in zip(" " + word, word, strict=False) if b > "\x7f")
 
     def undo_word(self, word: str, chain: tuple[str, ...]) -> str:
@@ -201,12 +204,23 @@ class Judge:
         return new if self.letter_bits(new) < self.letter_bits(word) - 2 else word
 
     def restore(self, text: str) -> tuple[str, str, float, float] | None:
-        """(restored text, chain, bits before, bits after), or None if the text stays as it is."""
+        """(restored text, chain, bits before, bits after), or None if the text stays as it is.
+
+        Parts of a text may have gone through different chains, so what is left is judged again."""
+        first = got = self._once(text)
+        chains = []
+        while got and len(chains) < 4:
+            first = (got[0], "", first[2], got[3])
+            chains.append(got[1])
+            got = self._once(got[0])
+        return (first[0], " + ".join(chains), first[2], first[3]) if first else None
+
+    def _once(self, text: str) -> tuple[str, str, float, float] | None:
         words = [w for w in _WORD.findall(text) if _RUN.search(w)]
         if not words:
             return None
         uniq = list(dict.fromkeys(words))
-        before = self.size(uniq)[0] * 8 + sum(map(self.letter_bits, uniq)) / 2
+        before = self.size(uniq)[0] * 8 + sum(map(self.letter_bits, uniq))
         best: tuple[float, tuple[str, ...], dict[str, str]] | None = None
         tried = set()
         for chain in CHAINS:
@@ -216,7 +230,7 @@ class Judge:
                 continue
             tried.add(key)
             cost = 8 * sum(STEPS[s][2] for s in chain)
-            bits = self.size(list(key))[0] * 8 + sum(map(self.letter_bits, key)) / 2 + cost
+            bits = self.size(list(key))[0] * 8 + sum(map(self.letter_bits, key)) + cost
             if best is None or bits < best[0]:
                 best = (bits, chain, new)
         if best is None or best[0] >= before:
