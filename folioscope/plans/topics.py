@@ -123,7 +123,7 @@ def super_authors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def gender_topic_delta(spark: SparkSession, d: str) -> DataFrame:
-    """Mean topic vector of male less that of female author slots, a paper's vector shared among its authors, by year."""
+    """Mean topic vector of male less that of female author slots, a paper's vector shared among its authors, by year. A billionth is added before rounding, as exact halves are common here."""
     s = Star(spark, d)
     team = s.authorship.groupBy("paper_id").agg(count_rows("n"))
     g = s.persons.filter("gender in ('m', 'f')").select("person_id", "gender")
@@ -131,7 +131,7 @@ def gender_topic_delta(spark: SparkSession, d: str) -> DataFrame:
     per = x.groupBy("year", "topic").agg(*[F.sum(F.when(F.col("gender") == k, F.col("cnt") / F.col("n")).otherwise(0.0)).alias(k) for k in "mf"])
     size = s.slots.filter("year is not null").join(g, "person_id").groupBy("year").agg(*[F.sum((F.col("gender") == k).cast("long")).alias(f"n{k}") for k in "mf"])
     ok = (F.col("nm") > 0) & (F.col("nf") > 0)
-    return per.join(size, "year").select("year", "topic", F.when(ok, F.round(F.col("m") / F.col("nm") - F.col("f") / F.col("nf"), 4)).alias("delta"))
+    return per.join(size, "year").select("year", "topic", F.when(ok, F.round(F.col("m") / F.col("nm") - F.col("f") / F.col("nf") + 1e-9, 6)).alias("delta"))
 
 
 def gender_topics_by_venue(spark: SparkSession, d: str) -> DataFrame:
@@ -212,7 +212,7 @@ SQL = {
     "top_authors_per_topic": _DOM + ", x AS (SELECT topic, person_id, CAST(sum(coalesce(cited_count, 0)) AS BIGINT) AS cites FROM dom JOIN slots USING (paper_id) GROUP BY 1, 2) SELECT topic, CAST(r AS INTEGER) AS rank, person_id, cites FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY cites DESC, person_id) AS r FROM x) WHERE r <= 10",
     "topic_coverage_hist": STAR + " " + _COVER.format(""),
     "super_authors": STAR + ", apc AS (SELECT p.person_id, coalesce(x.cites, 0) AS cites FROM (SELECT DISTINCT person_id FROM aut) p LEFT JOIN (SELECT person_id, sum(coalesce(cited_count, 0)) AS cites FROM slots WHERE year >= 2000 GROUP BY 1) x USING (person_id)), best AS (SELECT person_id FROM (SELECT *, row_number() OVER (ORDER BY cites DESC, person_id) AS r, count(*) OVER () AS n FROM apc) WHERE r <= floor(0.01::DOUBLE * n)) " + _COVER.format("WHERE person_id IN (SELECT person_id FROM best)"),
-    "gender_topic_delta": STAR + ", g AS (SELECT s.*, gender FROM slots s JOIN per USING (person_id) WHERE gender IN ('m', 'f') AND year IS NOT NULL), tm AS (SELECT paper_id, count(*) AS n FROM aut GROUP BY 1), x AS (SELECT year, topic, sum(CASE WHEN gender = 'm' THEN cnt / n::DOUBLE ELSE 0 END) AS m, sum(CASE WHEN gender = 'f' THEN cnt / n::DOUBLE ELSE 0 END) AS f FROM g JOIN tm USING (paper_id) JOIN dt USING (paper_id) GROUP BY 1, 2), z AS (SELECT year, count(*) FILTER (WHERE gender = 'm') AS nm, count(*) FILTER (WHERE gender = 'f') AS nf FROM g GROUP BY 1) SELECT year, topic, CASE WHEN nm > 0 AND nf > 0 THEN round(m / nm - f / nf, 4) END AS delta FROM x JOIN z USING (year)",
+    "gender_topic_delta": STAR + ", g AS (SELECT s.*, gender FROM slots s JOIN per USING (person_id) WHERE gender IN ('m', 'f') AND year IS NOT NULL), tm AS (SELECT paper_id, count(*) AS n FROM aut GROUP BY 1), x AS (SELECT year, topic, sum(CASE WHEN gender = 'm' THEN cnt / n::DOUBLE ELSE 0 END) AS m, sum(CASE WHEN gender = 'f' THEN cnt / n::DOUBLE ELSE 0 END) AS f FROM g JOIN tm USING (paper_id) JOIN dt USING (paper_id) GROUP BY 1, 2), z AS (SELECT year, count(*) FILTER (WHERE gender = 'm') AS nm, count(*) FILTER (WHERE gender = 'f') AS nf FROM g GROUP BY 1) SELECT year, topic, CASE WHEN nm > 0 AND nf > 0 THEN round(m / nm - f / nf + 1e-9, 6) END AS delta FROM x JOIN z USING (year)",
     "gender_topics_by_venue": _LAB + ", fl AS (SELECT paper_id, bool_or(gender = 'm') AS m, bool_or(gender = 'f') AS f FROM aut JOIN per USING (person_id) GROUP BY 1), x AS (SELECT *, cnt / CAST(sum(cnt) OVER (PARTITION BY paper_id) AS DOUBLE) AS share FROM lab WHERE venue_id IS NOT NULL) SELECT venue_id, topic, round(sum(CASE WHEN m THEN share ELSE 0 END), 6) AS with_m, round(sum(CASE WHEN f THEN share ELSE 0 END), 6) AS with_f FROM x JOIN fl USING (paper_id) GROUP BY 1, 2",
     "venue_similarity": _LAB + f", b AS (SELECT lab.topic, lab.cnt, ven.* FROM lab JOIN ven USING (venue_id)), v AS (SELECT venue_id, is_conference, [{_VEC}] AS v FROM b GROUP BY 1, 2), k AS (SELECT is_conference, [{_VEC}] AS o FROM b GROUP BY 1), e AS (SELECT [{_VEC}] AS a FROM b) SELECT venue_id, round(list_cosine_similarity(v, a), 3) AS cosine_all, round(list_distance(v, a), 3) AS euclid_all, round(list_cosine_similarity(v, o), 3) AS cosine_own, round(list_distance(v, o), 3) AS euclid_own FROM v JOIN k USING (is_conference) CROSS JOIN e",
 }
