@@ -32,13 +32,31 @@ SMOOTHING = 0.1
 LIX_CUTS = (22.0, 38.0, 52.0, 68.0)
 _WORDS = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _ENDS = re.compile(r"[.!?]+(?:\s|$)")
+#: A word of running text with its punctuation, or a number; what begins a line of keywords; what only code holds.
+_PLAIN = re.compile(r"[(\"“‘'\[]*(?:[^\W\d_]+(?:['’-][^\W\d_]+)*|\d+(?:[.,]\d+)*)[)\]\"”’'.,;:!?…]*")
+_LABEL = re.compile(r"\s*(?:key\s?words|index terms|schlagw\w+|mots[- ]cl\w+|palabras clave|palavras-chave)\b", re.I)
+_CODE = re.compile(r"[{}|=<>]|\w\(|^\s*[$#]")
+#: Fewest words of a line that is prose without a sentence's end as its last sign, and least share of plain words in it.
+PROSE, MOSTLY = 8, 0.8
+
+
+def _is_prose(line: str) -> bool:
+    """A short line is prose as a closed sentence; a longer one also where it is cut off or ends in another sign."""
+    if line.rstrip()[-1:] in (".", "!", "?", "”", '"') and line.count(" ") >= 3:
+        return True
+    ws = line.split()
+    if len(ws) < PROSE or _LABEL.match(line):
+        return False
+    if len(ws) < 3 * PROSE and _CODE.search(line):
+        return False
+    return sum(bool(_PLAIN.fullmatch(w)) for w in ws) >= MOSTLY * len(ws)
 
 
 def running_text(text: str) -> str:
-    """The lines that hold sentences; all lines where none does."""
+    """The lines that hold sentences or other running prose, whole; all lines where none does."""
     if "\n" not in text:
         return text
-    kept = [x for x in text.split("\n") if x.rstrip()[-1:] in (".", "!", "?", "”", '"') and x.count(" ") >= 3]
+    kept = [x for x in text.split("\n") if _is_prose(x)]
     return "\n".join(kept) if kept else text
 
 

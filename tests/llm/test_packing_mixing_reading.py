@@ -122,3 +122,10 @@ def test_held_out_accuracy(spark):
 def test_running_text():
     assert reading.running_text("Heading\nThis line holds a sentence.\ndef f(x): return x") == "This line holds a sentence."
     assert reading.words_of(None) == [] and reading.words_of("Heading") == ["heading"]
+
+
+@pytest.mark.parametrize("end", [";", "", ",", " –", " [12]"])
+def test_running_text_keeps_prose_that_has_no_full_stop_at_its_end(end):
+    prose = "The review usually explains our regular process. Each selected approach affects the original quality of the plan before the next release" + end
+    text = f"1 Goal Modelling\n{prose}\nIt works.\nWe saw it here.\nfor (i = 0; i < 57; i++) {{ total += x[i]; }}\nKEYWORDS: test prioritisation, change impact analysis, code search, bug triage"
+    assert reading.running_text(text) == f"{prose}\nWe saw it here."
