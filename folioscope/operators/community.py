@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -136,12 +138,13 @@ def pair_performance(actual: DataFrame, predicted: DataFrame, n_nodes: int) -> D
     return s.select("tp", "fp", "fn", ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), ratio(F.col("tp"), F.col("tp") + F.col("fn")).alias("recall"), ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("f1"), ratio(F.col("tp") + tn, F.lit(n_nodes * (n_nodes - 1) // 2)).alias("accuracy"))
 
 
-def hops(edges: DataFrame, source: int, most: int = 6) -> DataFrame:
-    """(id, hops): breadth-first distance from source over undirected edges(a, b), up to ``most`` steps."""
+def hops(edges: DataFrame, source: int, most: int | None = None) -> DataFrame:
+    """(id, hops): breadth-first distance from source over undirected edges(a, b), until nobody new is reached, or up to
+    ``most`` steps."""
     both = cut(edges.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(edges.select(F.col("b").alias("x"), F.col("a").alias("y"))).distinct(), "edges")
     seen = both.sparkSession.createDataFrame([(source, 0)], "id long, hops int")
     front = seen
-    for k in range(1, most + 1):
+    for k in count(1) if most is None else range(1, most + 1):
         front = cut(both.join(front, both.x == front.id).select(F.col("y").alias("id")).distinct().join(seen, "id", "left_anti").withColumn("hops", F.lit(k)), "front")
         if front.isEmpty():
             break

@@ -251,14 +251,19 @@ def pair_performance(spark: SparkSession, d: str) -> DataFrame:
     return community.pair_performance(collaborations(s.authorship).select("a", "b"), truth, s.authorship.select("person_id").distinct().count())
 
 
-def bfs_path_len(spark: SparkSession, d: str) -> DataFrame:
-    """Steps from the author of lowest id, other than the one who stands for many, to others, up to four."""
+def bfs_path_len(spark: SparkSession, d: str, most: int | None = 4) -> DataFrame:
+    """Steps from the author of lowest id, other than the one who stands for many, to others, up to four as in the SQL."""
     s = Star(spark, d)
     e = collaborations(s.authorship.filter("person_id <> 1")).select("a", "b")
     start = s.authorship.filter("person_id <> 1").agg(F.min("person_id")).first()[0]
     if start is None:
         return spark.createDataFrame([], "person_id long, hops int")
-    return community.hops(e, int(start), 4).select(F.col("id").alias("person_id"), "hops")
+    return community.hops(e, int(start), most).select(F.col("id").alias("person_id"), "hops")
+
+
+def bfs_path_len_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Steps from the same author to all whom a path reaches, however long."""
+    return bfs_path_len(spark, d, None)
 
 
 def csr_index(spark: SparkSession, d: str) -> DataFrame:
@@ -344,7 +349,7 @@ def submission_acceptance(spark: SparkSession, d: str) -> DataFrame:
     return s.rollup("conference").agg(count_rows("n"), F.sum((F.lower("decision") == "accept").cast("long")).alias("accepted"))
 
 
-_FNS = [tokens, tfidf_top_terms, idf_by_term, chi2_terms, cooccurrence, cited_word_links, negative_sampling_table, doc_embedding_mean, cosine_to_centroid, lda_topics, lda_likelihood, topic_overlap, a12_by_venue_type, positional_quantiles, median_iqr, moments, cites_by_venue_type, scaled_citations, bootstrap_diff, scott_knott_ranks, strat_folds, fold_sizes, confusion_metrics, weighted_metrics, classifier_cv, components_by_venue, community_ground_truth, venue_transitivity, community_separability, pair_performance, bfs_path_len, csr_index, event_props_json, role_case, interval_buckets, first_names, name_gender_counts, gender_resolution, alias_resolution, title_year_lookup, doi_hosts, titles_without_punctuation, submission_decisions, submission_acceptance]
+_FNS = [tokens, tfidf_top_terms, idf_by_term, chi2_terms, cooccurrence, cited_word_links, negative_sampling_table, doc_embedding_mean, cosine_to_centroid, lda_topics, lda_likelihood, topic_overlap, a12_by_venue_type, positional_quantiles, median_iqr, moments, cites_by_venue_type, scaled_citations, bootstrap_diff, scott_knott_ranks, strat_folds, fold_sizes, confusion_metrics, weighted_metrics, classifier_cv, components_by_venue, community_ground_truth, venue_transitivity, community_separability, pair_performance, bfs_path_len, bfs_path_len_whole, csr_index, event_props_json, role_case, interval_buckets, first_names, name_gender_counts, gender_resolution, alias_resolution, title_year_lookup, doi_hosts, titles_without_punctuation, submission_decisions, submission_acceptance]
 QUERIES = {f.__name__: f for f in _FNS}
 
 _DOC = STAR + ", doc AS (SELECT paper_id, venue_id, year, coalesce(abstract, title) AS text FROM pap WHERE coalesce(abstract, title) IS NOT NULL), tc AS (SELECT paper_id, w AS term, count(*) AS tf FROM wrd GROUP BY 1, 2)"
