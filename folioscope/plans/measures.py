@@ -14,6 +14,10 @@ from folioscope.operators.star import Star
 from folioscope.plans._sql import STAR
 
 
+#: Words of the reference's network: 5000 with the one that stands for all others, which has no links.
+NETWORK = 4999
+
+
 def count_rows(name: str) -> Column:
     return F.count(F.lit(1)).alias(name)
 
@@ -66,13 +70,30 @@ def cited_word_links(spark: SparkSession, d: str, vocabulary: int = 40) -> DataF
     sets = text.term_counts(_docs(s), "paper_id", F.col("text")).select("paper_id", "term")
     top = sets.groupBy("term").agg(count_rows("n")).orderBy(F.desc("n"), "term").limit(vocabulary).select("term")
     kept = sets.join(F.broadcast(top), "term")
-    x = s.citations.join(kept.select(F.col("paper_id").alias("src"), F.col("term").alias("i")), "src").join(kept.select(F.col("paper_id").alias("dst"), F.col("term").alias("j")), "dst")
-    return x.groupBy("i", "j").agg(count_rows("weight"))
+    # words are counted by cited paper first, so that one cited often meets its own words once
+    x = s.citations.join(kept.select(F.col("paper_id").alias("src"), F.col("term").alias("i")), "src").groupBy("dst", "i").agg(count_rows("n"))
+    x = x.join(kept.select(F.col("paper_id").alias("dst"), F.col("term").alias("j")), "dst")
+    return x.groupBy("i", "j").agg(F.sum("n").alias("weight"))
+
+
+def cooccurrence_whole(spark: SparkSession, d: str) -> DataFrame:
+    """cooccurrence with the reference's vocabulary."""
+    return cooccurrence(spark, d, NETWORK)
+
+
+def cited_word_links_whole(spark: SparkSession, d: str) -> DataFrame:
+    """cited_word_links with the reference's vocabulary."""
+    return cited_word_links(spark, d, NETWORK)
+
+
+def negative_sampling_table_whole(spark: SparkSession, d: str) -> DataFrame:
+    """negative_sampling_table with the reference's vocabulary."""
+    return negative_sampling_table(spark, d, NETWORK)
 
 
-def negative_sampling_table(spark: SparkSession, d: str) -> DataFrame:
+def negative_sampling_table(spark: SparkSession, d: str, vocabulary: int = 200) -> DataFrame:
     """Cumulative share of degree^0.75 by which words are drawn, over the co-occurring words."""
-    c = cooccurrence(spark, d)
+    c = cooccurrence(spark, d, vocabulary)
     deg = c.select(F.col("i").alias("term")).unionByName(c.select(F.col("j").alias("term"))).groupBy("term").agg(count_rows("degree"))
     p = F.pow("degree", F.lit(0.75))
     w = Window.orderBy("term")  # the vocabulary is bounded
@@ -349,7 +370,7 @@ def submission_acceptance(spark: SparkSession, d: str) -> DataFrame:
     return s.rollup("conference").agg(count_rows("n"), F.sum((F.lower("decision") == "accept").cast("long")).alias("accepted"))
 
 
-_FNS = [tokens, tfidf_top_terms, idf_by_term, chi2_terms, cooccurrence, cited_word_links, negative_sampling_table, doc_embedding_mean, cosine_to_centroid, lda_topics, lda_likelihood, topic_overlap, a12_by_venue_type, positional_quantiles, median_iqr, moments, cites_by_venue_type, scaled_citations, bootstrap_diff, scott_knott_ranks, strat_folds, fold_sizes, confusion_metrics, weighted_metrics, classifier_cv, components_by_venue, community_ground_truth, venue_transitivity, community_separability, pair_performance, bfs_path_len, bfs_path_len_whole, csr_index, event_props_json, role_case, interval_buckets, first_names, name_gender_counts, gender_resolution, alias_resolution, title_year_lookup, doi_hosts, titles_without_punctuation, submission_decisions, submission_acceptance]
+_FNS = [tokens, tfidf_top_terms, idf_by_term, chi2_terms, cooccurrence, cited_word_links, negative_sampling_table, cooccurrence_whole, cited_word_links_whole, negative_sampling_table_whole, doc_embedding_mean, cosine_to_centroid, lda_topics, lda_likelihood, topic_overlap, a12_by_venue_type, positional_quantiles, median_iqr, moments, cites_by_venue_type, scaled_citations, bootstrap_diff, scott_knott_ranks, strat_folds, fold_sizes, confusion_metrics, weighted_metrics, classifier_cv, components_by_venue, community_ground_truth, venue_transitivity, community_separability, pair_performance, bfs_path_len, bfs_path_len_whole, csr_index, event_props_json, role_case, interval_buckets, first_names, name_gender_counts, gender_resolution, alias_resolution, title_year_lookup, doi_hosts, titles_without_punctuation, submission_decisions, submission_acceptance]
 QUERIES = {f.__name__: f for f in _FNS}
 
 _DOC = STAR + ", doc AS (SELECT paper_id, venue_id, year, coalesce(abstract, title) AS text FROM pap WHERE coalesce(abstract, title) IS NOT NULL), tc AS (SELECT paper_id, w AS term, count(*) AS tf FROM wrd GROUP BY 1, 2)"
