@@ -62,7 +62,7 @@ KNOWN, LEAST_KNOWN = 120, 1 / 20_000
 #: Letters inside a word that no language here has there: other scripts, box drawing, symbols, lost and control characters.
 _ODD = r"[\x{0080}-\x{00A0}\x{0370}-\x{052F}\x{2190}-\x{22FF}\x{2300}-\x{25FF}\x{2E80}-\x{9FFF}\x{F000}-\x{FFFF}\x{00A2}\x{00A5}-\x{00A9}\x{00AC}-\x{00AF}\x{00B2}-\x{00B4}\x{00B6}-\x{00B9}]"
 _LATIN = r"[A-Za-z\x{00C0}-\x{024F}]"
-_SUSPECT = rf"{_LATIN}{_ODD}|{_ODD}{_LATIN}|[\x{{00C2}}-\x{{00C5}}\x{{00D0}}\x{{00D1}}\x{{00E2}}\x{{0413}}\x{{0102}}\x{{221A}}\x{{251C}}\x{{0152}}][\x{{0080}}-\x{{00BF}}\x{{2000}}-\x{{25FF}}\x{{0139}}-\x{{017E}}]|[\x{{0420}}\x{{0421}}][\x{{00A0}}-\x{{00BF}}\x{{0402}}-\x{{040F}}\x{{0452}}-\x{{045F}}\x{{2000}}-\x{{21FF}}]|\p{{Ll}}[\x{{00C0}}-\x{{00DE}}]|\x{{FFFD}}"
+_SUSPECT = rf"{_LATIN}{_ODD}|{_ODD}{_LATIN}|[\x{{00C2}}-\x{{00C5}}\x{{00D0}}\x{{00D1}}\x{{00E2}}\x{{0413}}\x{{0102}}\x{{221A}}\x{{251C}}\x{{0152}}][\x{{0080}}-\x{{00BF}}\x{{2000}}-\x{{25FF}}\x{{0139}}-\x{{017E}}\x{{02C6}}-\x{{02DD}}]|[\x{{0420}}\x{{0421}}][\x{{00A0}}-\x{{00BF}}\x{{0402}}-\x{{040F}}\x{{0452}}-\x{{045F}}\x{{2000}}-\x{{21FF}}]|\p{{Ll}}[\x{{00C0}}-\x{{00DE}}]|\x{{FFFD}}"
 #: A word of another script.
 _OTHER = r"[\x{0370}-\x{1DFF}\x{1F00}-\x{1FFF}\x{2E80}-\x{D7FF}]"
 
