@@ -54,10 +54,17 @@ def ground_truth(edges: DataFrame, smallest: int = 3) -> DataFrame:
 
 
 def triangles(edges: DataFrame) -> DataFrame:
-    """(venue_id, a, b, c) with a < b < c, all linked: a join of ordered edges."""
-    e = edges.select("venue_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    two = e.join(e.select("venue_id", F.col("a").alias("b"), F.col("b").alias("c")), ["venue_id", "b"])
-    return two.join(e.select("venue_id", "a", F.col("b").alias("c")), ["venue_id", "a", "c"], "left_semi")
+    """(venue_id, x, y, z): each triangle of links once. Links run from nodes of low to nodes of high degree (ties by id),
+    so that no hub is the middle of more paths than its links allow: a node has at most sqrt(2·links) links upwards."""
+    e = edges.select("venue_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
+    ends = e.select("venue_id", F.col("a").alias("id")).unionByName(e.select("venue_id", F.col("b").alias("id")))
+    deg = ends.groupBy("venue_id", "id").agg(F.count(F.lit(1)).alias("d"))
+    of = lambda c: deg.select("venue_id", F.col("id").alias(c), F.struct("d", "id").alias(f"d{c}"))
+    up = e.join(of("a"), ["venue_id", "a"]).join(of("b"), ["venue_id", "b"])
+    low = F.col("da") < F.col("db")
+    up = cut(up.select("venue_id", F.when(low, F.col("a")).otherwise(F.col("b")).alias("x"), F.when(low, F.col("b")).otherwise(F.col("a")).alias("y")), "up")
+    two = up.join(up.select("venue_id", "x", F.col("y").alias("z")), ["venue_id", "x"]).filter("y <> z")
+    return two.join(up.select("venue_id", F.col("x").alias("y"), F.col("y").alias("z")), ["venue_id", "y", "z"], "left_semi")
 
 
 def transitivity(edges: DataFrame) -> DataFrame:
@@ -152,6 +159,22 @@ def hops(edges: DataFrame, source: int, most: int | None = None) -> DataFrame:
     return seen
 
 
+def paths(edges: DataFrame, source: int, most: int | None = None) -> DataFrame:
+    """(id, hops, path): a shortest path from source to each node that can be reached over edges(src, dst), as ids joined
+    by '-'; of several the one whose last steps have the least ids. The source has 0 hops."""
+    e = cut(edges.select("src", "dst").distinct(), "edges")
+    seen = e.sparkSession.createDataFrame([(source, 0, str(source))], "id long, hops int, path string")
+    front = seen
+    for k in count(1) if most is None else range(1, most + 1):
+        step = e.join(front, e.src == front.id).groupBy(F.col("dst").alias("id")).agg(F.min_by("path", "src").alias("path"))
+        step = step.join(seen.select("id"), "id", "left_anti").select("id", F.lit(k).alias("hops"), F.concat_ws("-", "path", F.col("id").cast("string")).alias("path"))
+        front = cut(step, "front")
+        if front.isEmpty():
+            break
+        seen = cut(seen.unionByName(front), "seen")
+    return seen
+
+
 def adjacency_offsets(edges: DataFrame) -> DataFrame:
     """Compressed sparse rows: (node, targets as text, degree, offset), loops left out, nodes by rising id.
 

@@ -72,7 +72,7 @@ def citation_update(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "papers")
     w = Window.partitionBy("paper_id").orderBy("loaded_at", F.desc_nulls_last("cited_count"))
     r = p.select("paper_id", "loaded_at", "cited_count", F.row_number().over(w).alias("k"))
-    return upsert(r.filter("k = 1").select("paper_id", "cited_count"), r.filter("k > 1 and cited_count is not null").select("paper_id", "cited_count"), ["paper_id"], ["cited_count"])
+    return upsert(r.filter("k = 1").select("paper_id", "cited_count"), r.filter("k > 1").select("paper_id", "cited_count", "k"), ["paper_id"], ["cited_count"], F.col("k"))
 
 
 def _submissions(spark: SparkSession, d: str) -> DataFrame:
@@ -167,7 +167,7 @@ SQL = {
     "tagged_text_round_trip": r"SELECT DISTINCT aminer_id, nullif(trim(regexp_replace(title, '\s+', ' ', 'g')), '') AS title, year, coalesce(len(refs), 0)::BIGINT AS n_refs FROM aminer_papers",
     "cluster_file_round_trip": "SELECT size, count(*) AS clusters FROM (SELECT venue_id, year, count(DISTINCT person_id) AS size FROM pc_membership GROUP BY 1, 2) GROUP BY 1",
     "html_round_trip": "SELECT venue_id, acronym, name FROM venues",
-    "citation_update": "WITH r AS (SELECT paper_id, cited_count, row_number() OVER (PARTITION BY paper_id ORDER BY loaded_at, cited_count DESC NULLS LAST) AS k FROM papers) SELECT a.paper_id, coalesce(b.c, a.cited_count) AS cited_count FROM r a LEFT JOIN (SELECT paper_id, max(cited_count) AS c FROM r WHERE k > 1 GROUP BY 1) b USING (paper_id) WHERE k = 1",
+    "citation_update": "WITH r AS (SELECT paper_id, cited_count, row_number() OVER (PARTITION BY paper_id ORDER BY loaded_at, cited_count DESC NULLS LAST) AS k FROM papers) SELECT a.paper_id, coalesce(b.c, a.cited_count) AS cited_count FROM r a LEFT JOIN (SELECT paper_id, arg_max(cited_count, k) AS c FROM r WHERE k > 1 AND cited_count IS NOT NULL GROUP BY 1) b USING (paper_id) WHERE k = 1",
     "decision_topic_means": _SUB + ", sw AS (SELECT line_id, unnest(regexp_extract_all(lower(CASE WHEN abstract IN ('', 'None') THEN title ELSE abstract END), '[\\p{L}\\p{N}_]{3,}')) AS w FROM sub), n AS (SELECT conference, decision, count(*) AS n FROM sub GROUP BY 1, 2) SELECT conference, decision, CAST(length(w) % 11 AS INTEGER) AS topic, round(count(*) / any_value(n)::DOUBLE, 6) AS mean FROM sw JOIN sub USING (line_id) JOIN n USING (conference, decision) GROUP BY 1, 2, 3",
     "priority_buckets": _SUB + " SELECT CASE WHEN decision = 'reject' AND contains(raw, 'strong reject') THEN 'pre-reject' WHEN contains(raw, 'strong accept') THEN 'pre-accept' WHEN decision = 'reject' THEN 'reject' ELSE 'accept' END AS bucket, count(*) AS submissions FROM sub GROUP BY 1",
     "author_index": STAR + " SELECT person_id, row_number() OVER (ORDER BY person_id) - 1 AS idx FROM (SELECT DISTINCT person_id FROM aut)",

@@ -185,7 +185,7 @@ def cites_by_venue_type(spark: SparkSession, d: str) -> DataFrame:
 def scaled_citations(spark: SparkSession, d: str) -> DataFrame:
     """Citations of papers scaled to 0..1 within their year."""
     x = Star(spark, d).papers.filter("year is not null").select("paper_id", "year", F.coalesce("cited_count", F.lit(0)).cast("double").alias("c"))
-    return x.select("paper_id", F.round(min_max("c", "year"), 6).alias("scaled"))
+    return min_max(x, "c", "year").select("paper_id", F.round("c", 6).alias("scaled"))
 
 
 def bootstrap_diff(spark: SparkSession, d: str) -> DataFrame:

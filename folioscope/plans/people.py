@@ -147,34 +147,6 @@ def coauthor_sources(spark: SparkSession, d: str) -> DataFrame:
     return x.join(y, "paper_id").filter("src <> dst").groupBy("src").agg(F.countDistinct("dst").alias("coauthors"))
 
 
-def page_rank_graph(s: Star, top: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    nodes = s.authorship.select(F.col("person_id").alias("id")).distinct()
-    return rank.both_ways(rank.collaborations(s.authorship)), nodes
-
-
-def pagerank_3iter(spark: SparkSession, d: str) -> DataFrame:
-    edges, nodes = page_rank_graph(Star(spark, d))
-    return rank.page_rank(edges, nodes, 0.5, 3).select(F.col("id").alias("person_id"), F.round("score", 6).alias("score"))
-
-
-def weighted_pagerank_3iter(spark: SparkSession, d: str) -> DataFrame:
-    """Teleport in proportion to citations."""
-    s = Star(spark, d)
-    edges, nodes = page_rank_graph(s)
-    w = s.slots.groupBy(F.col("person_id").alias("id")).agg(F.sum(F.coalesce("cited_count", F.lit(0))).alias("weight"))
-    return rank.page_rank(edges, nodes, 0.5, 3, w).select(F.col("id").alias("person_id"), F.round("score", 6).alias("score"))
-
-
-def pagerank_damping_sweep(spark: SparkSession, d: str) -> DataFrame:
-    """The best ten authors for some damping values."""
-    edges, nodes = page_rank_graph(Star(spark, d))
-    out = None
-    for damp in (0.05, 0.5, 0.95):
-        x = rank.page_rank(edges, nodes, damp, 2).orderBy(F.desc("score"), "id").limit(10).select(F.lit(damp).alias("damp"), F.col("id").alias("person_id"), F.round("score", 6).alias("score"))
-        out = x if out is None else out.unionByName(x)
-    return out
-
-
 def committee_roster(spark: SparkSession, d: str) -> DataFrame:
     """Members of each committee in order of role and name."""
     s = Star(spark, d)
@@ -269,7 +241,7 @@ def denormalised_papers(spark: SparkSession, d: str) -> DataFrame:
 
 
 _FNS = [
-    papers_per_year_zero_filled, growth_first_seen, growth_after, authors_per_year, papers_by_venue_type, author_paper_cite_counts, top_percent_authors, top_cited_authors_named, local_citations_per_author, local_cites, citation_list, harmonic_contribution, uniform_contribution, weighted_contribution_harmonic, weighted_contribution_uniform, h_index, h_index_compat, h_index_leaders, collaboration_pairs, directed_pairs_by_venue, coauthor_sources, pagerank_3iter, weighted_pagerank_3iter, pagerank_damping_sweep, committee_roster, seats_per_author, pc_paper_share, gender_by_year, gender_topN_mix, set_overlap_matrix, team_size_share, cites_by_team_size, team_sizes, first_authors, denormalised_papers
+    papers_per_year_zero_filled, growth_first_seen, growth_after, authors_per_year, papers_by_venue_type, author_paper_cite_counts, top_percent_authors, top_cited_authors_named, local_citations_per_author, local_cites, citation_list, harmonic_contribution, uniform_contribution, weighted_contribution_harmonic, weighted_contribution_uniform, h_index, h_index_compat, h_index_leaders, collaboration_pairs, directed_pairs_by_venue, coauthor_sources, committee_roster, seats_per_author, pc_paper_share, gender_by_year, gender_topN_mix, set_overlap_matrix, team_size_share, cites_by_team_size, team_sizes, first_authors, denormalised_papers
 ]
 QUERIES = {f.__name__: f for f in _FNS}
 
@@ -281,16 +253,6 @@ def _contribution(each: str, weight: str) -> str:
     return STAR + f" SELECT person_id, round(sum(s * {weight}), 6) AS score FROM (SELECT *, ({each}) / sum({each}) OVER (PARTITION BY paper_id) AS s FROM slots) GROUP BY 1"
 
 
-def _pagerank(weights: str, rounds: int = 3, damp: float = 0.5) -> str:
-    sql = STAR + f""", e AS (SELECT a AS src, b AS dst, cnt FROM pairs UNION ALL SELECT b, a, cnt FROM pairs),
-mv AS (SELECT src, dst, cnt / CAST(sum(cnt) OVER (PARTITION BY src) AS DOUBLE) AS p FROM e),
-nodes AS (SELECT DISTINCT person_id AS id FROM aut), base AS ({weights}), r0 AS (SELECT id, 1.0::DOUBLE AS score FROM nodes)"""
-    for i in range(1, rounds + 1):
-        sql += f""", q{i} AS (SELECT base.id, {1 - damp} * t + {damp} * coalesce(g.s, 0) AS score FROM base LEFT JOIN (SELECT dst, sum(score * p) AS s FROM mv JOIN r{i - 1} ON src = id GROUP BY 1) g ON g.dst = base.id),
-r{i} AS (SELECT id, score / max(score) OVER () AS score FROM q{i})"""
-    return sql + f" SELECT id AS person_id, round(score, 6) AS score FROM r{rounds}"
-
-
 SQL = {
     "papers_per_year_zero_filled": STAR + " SELECT CAST(y.range AS INTEGER) AS year, count(p.paper_id) AS papers FROM range(1970, 2030) y LEFT JOIN pap p ON p.year = y.range GROUP BY 1",
     "growth_first_seen": STAR + ", f AS (SELECT year, count(*) AS new_authors FROM (SELECT person_id, min(year) AS year FROM slots WHERE year IS NOT NULL GROUP BY 1) GROUP BY 1) SELECT p.year, count(*) AS papers, coalesce(any_value(f.new_authors), 0) AS new_authors FROM pap p LEFT JOIN f USING (year) WHERE p.year IS NOT NULL GROUP BY 1",
@@ -313,8 +275,6 @@ SQL = {
     "collaboration_pairs": STAR + " SELECT * FROM pairs",
     "directed_pairs_by_venue": STAR + " SELECT x.venue_id, x.person_id AS src, y.person_id AS dst, count(*) AS n FROM slots x JOIN slots y ON x.paper_id = y.paper_id AND x.pos < y.pos WHERE x.venue_id IS NOT NULL GROUP BY 1, 2, 3",
     "coauthor_sources": STAR + " SELECT x.person_id AS src, count(DISTINCT y.person_id) AS coauthors FROM (SELECT *, max(pos) OVER (PARTITION BY paper_id) AS last FROM aut) x JOIN aut y ON x.paper_id = y.paper_id AND x.person_id <> y.person_id WHERE x.pos < x.last GROUP BY 1",
-    "pagerank_3iter": _pagerank("SELECT id, 1.0::DOUBLE / count(*) OVER () AS t FROM nodes"),
-    "weighted_pagerank_3iter": _pagerank("SELECT id, coalesce(w, 0) / sum(coalesce(w, 0)) OVER ()::DOUBLE AS t FROM nodes LEFT JOIN (SELECT person_id AS id, CAST(sum(coalesce(cited_count, 0)) AS DOUBLE) AS w FROM slots GROUP BY 1) USING (id)"),
     "committee_roster": STAR + " SELECT venue_id, year, count(*) AS seats, string_agg(s || ':' || name, '; ' ORDER BY s, name COLLATE \"C\", person_id) AS members FROM (SELECT pc.*, per.name, CASE role WHEN 'General Chair' THEN 'GC' WHEN 'Program Chair' THEN 'PC' WHEN 'PC member main track' THEN 'PCM' END AS s FROM pc_membership pc JOIN per USING (person_id)) GROUP BY 1, 2",
     "seats_per_author": STAR + " SELECT person_id, coalesce(n, 0) AS seats FROM (SELECT DISTINCT person_id FROM aut) LEFT JOIN (SELECT person_id, count(*) AS n FROM pc_membership GROUP BY 1) USING (person_id)",
     "pc_paper_share": STAR + " SELECT venue_id, year, count(*) AS papers, count(pcp.paper_id) AS pc_papers, round(100.0::DOUBLE * count(pcp.paper_id) / count(*), 2) AS share FROM pap p JOIN ven USING (venue_id) LEFT JOIN pcp USING (paper_id) WHERE ven.is_conference AND year IS NOT NULL GROUP BY ROLLUP (venue_id, year)",

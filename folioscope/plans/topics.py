@@ -52,11 +52,9 @@ def topic_evolution_ranked(spark: SparkSession, d: str) -> DataFrame:
 def topic_share_by_type(spark: SparkSession, d: str) -> DataFrame:
     """Topic shares by venue, by venue type and in all, by grouping sets over one pass."""
     s = Star(spark, d)
-    _labelled(s).filter("venue_id is not null").join(F.broadcast(s.venues.select("venue_id", F.col("is_conference").alias("conf"))), "venue_id").createOrReplaceTempView("folioscope_labelled")
-    x = spark.sql(
-        "SELECT venue_id, conf, topic, sum(cnt) AS cnt, grouping(venue_id) * 2 + grouping(conf) AS level FROM folioscope_labelled "
-        "GROUP BY GROUPING SETS ((venue_id, topic), (conf, topic), (topic))"
-    )
+    x = _labelled(s).filter("venue_id is not null").join(F.broadcast(s.venues.select("venue_id", F.col("is_conference").alias("conf"))), "venue_id")
+    sets = [[F.col("venue_id"), F.col("topic")], [F.col("conf"), F.col("topic")], [F.col("topic")]]
+    x = x.groupingSets(sets, "venue_id", "conf", "topic").agg(F.sum("cnt").alias("cnt"), (F.grouping("venue_id") * 2 + F.grouping("conf")).alias("level"))
     x = x.withColumn("share", F.round(share_of("cnt", "level", "venue_id", "conf"), 3))
     return x.select("venue_id", "conf", "topic", F.col("level").cast("int").alias("level"), "cnt", "share")
 
@@ -161,31 +159,44 @@ def venue_similarity(spark: SparkSession, d: str) -> DataFrame:
     return y.select("venue_id", r(cosine(F.col("v"), F.col("all_v")), "cosine_all"), r(euclid(F.col("v"), F.col("all_v")), "euclid_all"), r(cosine(F.col("v"), F.col("own")), "cosine_own"), r(euclid(F.col("v"), F.col("own")), "euclid_own"))
 
 
-def venue_linkage(spark: SparkSession, d: str) -> DataFrame:
-    """Order of merges of venues by complete linkage on their topic shares. Pairwise distances come from Spark; there are
-    as many venues as rows in a fixed table."""
+#: More venues than this are no fixed dimension any more, and their linkage is refused.
+MOST_VENUES = 5_000
+
+
+def complete_linkage(vectors: dict[int, list[float]]) -> list[tuple[int, int, int, float, int]]:
+    """(step, first, second, distance, members): the merges of complete linkage by Euclidean distance; a cluster bears its
+    least name, ties go to the earlier pair in order of names."""
     import numpy as np
 
+    names = sorted(vectors)
+    x = np.array([vectors[n] for n in names], dtype=float).reshape(len(names), -1)
+    m = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    m[np.tril_indices(len(names))] = np.inf
+    size, out = dict.fromkeys(range(len(names)), 1), []
+    for step in range(1, len(names)):
+        i, j = (int(k) for k in np.unravel_index(int(m.argmin()), m.shape))
+        out.append((step, int(names[i]), int(names[j]), float(round(m[i, j], 6)), size[i] + size[j]))
+        for k in range(len(names)):
+            if k not in (i, j) and k in size:
+                far = max(m[min(i, k), max(i, k)], m[min(j, k), max(j, k)])
+                m[min(i, k), max(i, k)] = far
+        size[i] += size.pop(j)
+        m[j, :] = m[:, j] = np.inf
+    return out
+
+
+def venue_linkage(spark: SparkSession, d: str) -> DataFrame:
+    """Order of merges of venues by complete linkage on their topic shares. What reaches the driver is one number a venue
+    and topic; venues are a fixed dimension, and more than MOST_VENUES are refused."""
     s = Star(spark, d)
     x = _labelled(s).filter("venue_id is not null").groupBy("venue_id", "topic").agg(F.sum("cnt").alias("cnt")).withColumn("share", share_of("cnt", "venue_id"))
-    y = x.select(F.col("venue_id").alias("a"), "topic", "share").join(x.select(F.col("venue_id").alias("b"), "topic", F.col("share").alias("o")), "topic").filter("a < b")
-    sq = y.groupBy("a", "b").agg(F.sum((F.col("share") - F.col("o")) ** 2).alias("d")).limit(250_000).collect()
-    names = sorted({r.a for r in sq} | {r.b for r in sq})
-    at = {v: i for i, v in enumerate(names)}
-    m = np.full((len(names), len(names)), np.inf)
-    for r in sq:
-        m[at[r.a], at[r.b]] = m[at[r.b], at[r.a]] = r.d**0.5
-    size, alive, out = {i: 1 for i in range(len(names))}, set(range(len(names))), []
-    label = {i: names[i] for i in alive}
-    while len(alive) > 1:
-        i, j = min(((a, b) for a in alive for b in alive if a < b), key=lambda p: (m[p], p))
-        out.append((len(out) + 1, int(label[i]), int(label[j]), float(round(m[i, j], 6)), size[i] + size[j]))
-        for k in alive - {i, j}:
-            m[i, k] = m[k, i] = max(m[i, k], m[j, k])
-        size[i] += size[j]
-        label[i] = min(label[i], label[j])
-        alive.remove(j)
-    return spark.createDataFrame(out, "step int, first int, second int, distance double, venues int")
+    rows = x.select("venue_id", "topic", "share").limit(MOST_VENUES * TOPICS + 1).collect()
+    if len(rows) > MOST_VENUES * TOPICS:
+        raise ValueError(f"more than {MOST_VENUES} venues")
+    vectors: dict[int, list[float]] = {}
+    for r in rows:
+        vectors.setdefault(r.venue_id, [0.0] * TOPICS)[r.topic] = r.share
+    return spark.createDataFrame(complete_linkage(vectors), "step int, first int, second int, distance double, venues int")
 
 
 _FNS = [doc_topics, venue_topic_share, topic_by_year, topic_by_venue_year, topic_evolution_ranked, topic_share_by_type, non_pc_topics, pc_topics, pc_topic_delta, dominant_topic, papers_per_dominant_topic, top_papers_per_topic, top_authors_per_topic, topic_coverage_hist, super_authors, gender_topic_delta, gender_topics_by_venue, venue_similarity, venue_linkage]
