@@ -19,12 +19,15 @@ from pyspark.sql import functions as F
 from folioscope.common import cut
 from folioscope.llm import tokens
 
-#: Topics beyond the largest so many share one cell, so the number of cells is bounded.
-MOST_TOPICS = 1_000
+#: Cells and targets are what the driver rakes; more of either are refused, none is left out.
 MOST_CELLS = 500_000
-ROUNDS = 60
+MOST_TARGETS = 100_000
+#: Raking ends when no weight moves by more than this share of a repeat, or after so many rounds.
+ROUNDS, SETTLED = 500, 1e-6
 #: Scales tried a pass, and passes, of the bisection.
-GRID, PASSES = 24, 3
+GRID, PASSES = 24, 4
+#: The widest scales tried; a source that needs another is reported with what it gets.
+WIDEST = 16.0
 
 
 def rake(mass: np.ndarray, cells: list[tuple[int, int, int]], source: np.ndarray, lang: np.ndarray, topic: np.ndarray, cap: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
@@ -34,19 +37,20 @@ def rake(mass: np.ndarray, cells: list[tuple[int, int, int]], source: np.ndarray
     c = np.array(cells, dtype=int).reshape(len(cells), 3)
     w = np.ones(len(cells))
     for _ in range(rounds):
+        before = w
         for axis, target in ((2, topic), (1, lang), (0, source)):
             for _ in range(4 if axis == 0 else 1):  # what a cap holds back goes to the cells below theirs
                 now = np.bincount(c[:, axis], weights=mass * w, minlength=len(target))
                 ratio = np.divide(target, now, out=np.zeros_like(now), where=now > 0)
                 w = np.minimum(w * ratio[c[:, axis]], cap)
+        if len(w) == 0 or np.abs(w - before).max() < SETTLED:
+            break
     return w
 
 
 def _cells(docs: DataFrame) -> DataFrame:
-    """(doc_id, tokens, source, lang, topic): the rarest topics are one."""
-    top = docs.groupBy("venue_id").agg(F.sum("tokens").alias("t")).orderBy(F.desc("t"), "venue_id").limit(MOST_TOPICS).select(F.col("venue_id").alias("topic"))
-    d = docs.withColumn("topic", F.col("venue_id")).join(F.broadcast(top.withColumn("kept", F.lit(True))), "topic", "left")
-    return d.select("doc_id", "tokens", "source", F.coalesce("lang", F.lit("")).alias("lang"), F.when(F.col("kept"), F.col("topic")).otherwise(-2).alias("topic"))
+    """(doc_id, tokens, source, lang, topic): NULL languages and topics are values of their own."""
+    return docs.select("doc_id", "tokens", "source", F.coalesce("lang", F.lit("")).alias("lang"), F.col("venue_id").alias("topic"))
 
 
 def weights(docs: DataFrame, targets: list, total: float | None = None) -> tuple[list[tuple], dict[tuple[str, str], tuple[float, float]]]:
@@ -88,6 +92,25 @@ def weights(docs: DataFrame, targets: list, total: float | None = None) -> tuple
     return out, goals
 
 
+def marginals(documents: DataFrame, targets: DataFrame, path: str | None = None) -> DataFrame:
+    """(mix_id, dimension, value, corpus_share, actual_share) of the languages and topics of each mix, NULL as its own
+    value: how far the sources allow a mix to look like the corpus."""
+    sample, _ = mix(documents, targets, path=path)
+    keys = documents.filter("doc_id is not null").select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce(F.col("venue_id").cast("string"), F.lit("")).alias("topic")).dropDuplicates(["doc_id"])
+    size = cut(tokens.sizes(documents.filter("doc_id is not null"), path=path).dropDuplicates(["doc_id"]), "sizes")
+    drawn = cut(sample.join(keys, "doc_id"), "drawn")
+    out = None
+    for dim in ("lang", "topic"):
+        part = drawn.groupBy("mix_id", F.col(dim).alias("value")).agg(F.sum(F.col("tokens") * F.col("copies")).alias("t"))
+        whole = part.groupBy("mix_id").agg(F.sum("t").alias("whole"))
+        corpus = keys.join(size, "doc_id").groupBy(F.col(dim).alias("value")).agg(F.sum("tokens").alias("c"))
+        corpus = corpus.join(F.broadcast(corpus.agg(F.sum("c").alias("all"))), how="cross")
+        x = part.join(whole, "mix_id").join(corpus, "value")
+        x = x.select("mix_id", F.lit(dim).alias("dimension"), "value", F.round(F.col("c") / F.col("all"), 6).alias("corpus_share"), F.round(F.col("t") / F.col("whole"), 6).alias("actual_share"))
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
 def _copies(w: Column, u: Column, most: Column) -> Column:
     return F.least(F.floor(w + u).cast("int"), most)
 
@@ -101,7 +124,9 @@ def mix(documents: DataFrame, targets: DataFrame, total: float | None = None, pa
     have no documents report 0; of repeated (mix, source) rows the last in order of share counts. Repeats below 1 draw
     nothing."""
     spark = documents.sparkSession
-    goals_in = targets.filter("mix_id is not null and source is not null").dropDuplicates().orderBy("mix_id", "source", "target_share", "max_repeats").limit(100_000).collect()
+    goals_in = targets.filter("mix_id is not null and source is not null").dropDuplicates().orderBy("mix_id", "source", "target_share", "max_repeats").limit(MOST_TARGETS + 1).collect()
+    if len(goals_in) > MOST_TARGETS:
+        raise ValueError(f"more than {MOST_TARGETS} targets")
     named = {t.source for t in goals_in}
     sized = cut(tokens.sizes(documents.filter("doc_id is not null").withColumn("venue_id", F.coalesce(F.col("venue_id").cast("int"), F.lit(-1))), ["doc_id", "source", "lang", "venue_id"], path=path), "sizes")
     docs = cut(_cells(sized.filter("tokens > 0").dropDuplicates(["doc_id"])), "cells")
@@ -111,10 +136,11 @@ def mix(documents: DataFrame, targets: DataFrame, total: float | None = None, pa
     drawn = drawn.withColumn("u", (F.pmod(F.xxhash64("doc_id", "mix_id"), F.lit(1 << 40)) / float(1 << 40)))
     drawn = cut(drawn.select("mix_id", "doc_id", "source", "tokens", "w", "most", "u"), "drawn")
     # bisection: the scale by (mix, source) at which the drawn tokens meet the target
-    lo = {k: 0.5 for k in goals}
-    hi = {k: 2.0 for k in goals}
-    for _ in range(PASSES):
-        grid = {k: np.linspace(lo[k], hi[k], GRID) for k in goals}
+    lo = {k: 1 / WIDEST for k in goals}
+    hi = {k: WIDEST for k in goals}
+    for step in range(PASSES):
+        spaced = np.linspace if step else np.geomspace
+        grid = {k: spaced(lo[k], hi[k], GRID) for k in goals}
         steps = spark.createDataFrame([(m, s, [float(x) for x in g]) for (m, s), g in grid.items()], "mix_id string, source string, scales array<double>")
         sums = drawn.join(F.broadcast(steps), ["mix_id", "source"]).groupBy("mix_id", "source")
         got = sums.agg(*[F.sum(F.col("tokens") * _copies(F.col("w") * F.col("scales")[i], F.col("u"), F.col("most"))).alias(f"s{i}") for i in range(GRID)]).collect()

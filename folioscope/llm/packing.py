@@ -24,7 +24,7 @@ from folioscope.llm import tokens
 SHARD = 40_000
 #: A table of container kinds is small by nature; more kinds than this are refused.
 MOST_KINDS = 1_000
-SCHEMA = "container_kind string, container_id long, doc_id long, part int, tokens long"
+SCHEMA = "container_kind string, capacity_tokens long, container_id long, doc_id long, part int, tokens long"
 
 
 class Pool:
@@ -98,56 +98,57 @@ def _shard(pdf: pd.DataFrame) -> pd.DataFrame:
     kind, cap, shard = pdf["container_kind"].iloc[0], int(pdf["capacity_tokens"].iloc[0]), int(pdf["shard"].iloc[0])
     pdf = pdf.sort_values("doc_id")
     rows, items, at = [], [], 0
-    base = shard << 32
+    # capacities of one kind have ids of their own
+    base = (int(pdf["nth"].iloc[0]) << 52) + (shard << 32)
     empty = []
     for doc, n in zip(pdf["doc_id"].tolist(), pdf["tokens"].tolist(), strict=True):
         part = 0
         while n > cap:
-            rows.append((kind, base + at, doc, part, cap))
+            rows.append((kind, cap, base + at, doc, part, cap))
             at, part, n = at + 1, part + 1, n - cap
         if n:
             items.append((n, doc, part))
         elif not part:
             empty.append(doc)
     for box in pack([n for n, _, _ in items], cap):
-        rows.extend((kind, base + at, items[i][1], items[i][2], items[i][0]) for i in box)
+        rows.extend((kind, cap, base + at, items[i][1], items[i][2], items[i][0]) for i in box)
         at += 1
     # texts of no size need no room: they lie in the shard's first container
-    rows.extend((kind, base, doc, 0, 0) for doc in empty)
-    return pd.DataFrame(rows, columns=["container_kind", "container_id", "doc_id", "part", "tokens"])
+    rows.extend((kind, cap, base, doc, 0, 0) for doc in empty)
+    return pd.DataFrame(rows, columns=["container_kind", "capacity_tokens", "container_id", "doc_id", "part", "tokens"])
 
 
 def assign(documents: DataFrame, containers: DataFrame, shard: int = SHARD, path: str | None = None) -> DataFrame:
     """Every text in a container of each kind (SCHEMA). part counts the pieces of a split text from 0.
 
     NULL and empty texts have size 0. Repeated doc_ids are texts of their own. Containers without a positive capacity
-    hold nothing; of several capacities of a kind each counts as given."""
-    kinds = containers.filter("container_kind is not null and capacity_tokens > 0").distinct().limit(MOST_KINDS + 1).collect()
+    hold nothing; of several capacities of a kind each has containers of its own."""
+    kinds = containers.filter("container_kind is not null and capacity_tokens > 0").select("container_kind", F.col("capacity_tokens").cast("long").alias("capacity_tokens")).distinct().limit(MOST_KINDS + 1).collect()
     if len(kinds) > MOST_KINDS:
         raise ValueError(f"more than {MOST_KINDS} kinds of containers")
     sized = cut(tokens.sizes(documents.filter("doc_id is not null"), path=path), "sizes")
     n = sized.count()
     shards = max(1, math.ceil(n / shard))
-    each = F.explode(F.array(*[F.struct(F.lit(r.container_kind).alias("container_kind"), F.lit(r.capacity_tokens).cast("long").alias("capacity_tokens")) for r in kinds])) if kinds else None
-    if each is None:
+    nth = {(r.container_kind, r.capacity_tokens): sum(o.container_kind == r.container_kind and o.capacity_tokens < r.capacity_tokens for o in kinds) for r in kinds}
+    each = [F.struct(F.lit(k).alias("container_kind"), F.lit(c).cast("long").alias("capacity_tokens"), F.lit(i).alias("nth")) for (k, c), i in nth.items()]
+    if not each:
         return sized.sparkSession.createDataFrame([], SCHEMA)
-    spread = sized.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("long")).select("*", each.alias("c")).select("doc_id", "tokens", "shard", "c.*")
+    spread = sized.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("long")).select("*", F.explode(F.array(*each)).alias("c")).select("doc_id", "tokens", "shard", "c.*")
     return spread.groupBy("container_kind", "capacity_tokens", "shard").applyInPandas(_shard, SCHEMA)
 
 
-def summary(assigned: DataFrame, containers: DataFrame) -> DataFrame:
-    """Per kind: containers, texts, split texts, tokens, room and the share of it that is unused."""
-    cap = F.broadcast(containers.select("container_kind", F.col("capacity_tokens").cast("long").alias("capacity")).dropDuplicates(["container_kind"]))
-    boxes = assigned.groupBy("container_kind", "container_id").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n"), F.sum((F.col("part") > 0).cast("long")).alias("cuts"))
+def summary(assigned: DataFrame) -> DataFrame:
+    """Per kind and capacity: containers, pieces, cuts, tokens, room and the share of it that is unused."""
+    by = ["container_kind", "capacity_tokens"]
+    boxes = assigned.groupBy(*by, "container_id").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n"), F.sum((F.col("part") > 0).cast("long")).alias("cuts"))
     return (
-        boxes.join(cap, "container_kind")
-        .groupBy("container_kind")
+        boxes.groupBy(*by)
         .agg(
             F.count(F.lit(1)).alias("containers"),
             F.sum("n").alias("pieces"),
             F.sum("cuts").alias("cuts"),
             F.sum("t").alias("tokens"),
-            F.sum("capacity").alias("room"),
+            F.sum("capacity_tokens").alias("room"),
             F.max("t").alias("fullest"),
         )
         .withColumn("unused_share", F.round(1 - F.col("tokens") / F.col("room"), 6))

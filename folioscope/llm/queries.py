@@ -59,8 +59,7 @@ def p7_assignment(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_summary(spark: SparkSession, d: str) -> DataFrame:
     """Containers, room and unused share by kind."""
-    kinds = table(spark, d, "container_sizes")
-    return packing.summary(packing.assign(table(spark, d, "documents"), kinds), kinds)
+    return packing.summary(packing.assign(table(spark, d, "documents"), table(spark, d, "container_sizes")))
 
 
 def p8_sample(spark: SparkSession, d: str) -> DataFrame:
@@ -73,6 +72,11 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
+def p8_marginals(spark: SparkSession, d: str) -> DataFrame:
+    """Shares of languages and topics in each mix beside those of the corpus."""
+    return mixing.marginals(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     """English documents of at least 60 words with their reading level."""
     return reading.english_levels(table(spark, d, "documents"), table(spark, d, "reading_labels"))
@@ -90,5 +94,5 @@ def p9_by_source(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", "source").join(lv, "doc_id").groupBy("source", "reading_level").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_confidence, p5_found, p5_restored, p5_chains, p6_found, p6_classes, p7_assignment, p7_summary, p8_sample, p8_report, p9_found, p9_levels, p9_by_source)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_confidence, p5_found, p5_restored, p5_chains, p6_found, p6_classes, p7_assignment, p7_summary, p8_sample, p8_report, p8_marginals, p9_found, p9_levels, p9_by_source)}
 SQL: dict[str, str] = {}

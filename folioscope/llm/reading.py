@@ -1,15 +1,14 @@
 """Reading level of each document: smoothed unigram language models per level, and the level of highest posterior.
 
-The models of a language are trained on labelled texts where there are any. Levels and languages without labels are
-seeded by a formula: the share of long words and the length of sentences (LIX), cut at the points that lie between the
-levels of the labelled texts. Fitting takes a bounded sample (``PER_LEVEL`` texts a level, ``VOCABULARY`` words); every
-document is scored, by its whole running text: lines that hold no sentence (headings, code, references, keywords) count
-only where a document has nothing else.
+The models of a language are trained on all its labelled texts. Levels of a language without labels are seeded by a
+formula over all its documents: the share of long words and the length of sentences (LIX), cut at the points that lie
+between the levels of the labelled texts. Words are counted by language and level in Spark; what reaches the driver are the
+counts of the ``VOCABULARY`` most frequent words of each language. Every document is scored, by its whole running text:
+lines that hold no sentence (headings, code, references, keywords) count only where a document has nothing else.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -17,14 +16,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioscope.common import cut
+
 LEVELS = (1, 2, 3, 4, 5)
-#: Bounds of the sample that a language's models are fitted on.
-PER_LEVEL = 2_000
-SEEDS = 4_000
+#: Words a language that its models know one by one; all others share one chance. A bound on what reaches the driver.
 VOCABULARY = 60_000
+#: Parts that a language's words are ranked in before the best of each are ranked together.
+PARTS = 16
+#: Models are held whole by every task: more languages than this are refused, none is left out.
+MOST_LANGUAGES = 200
 #: Fewest labelled texts of a level that a model is trained on without seeds.
 FEWEST = 2
 SMOOTHING = 0.1
@@ -93,28 +96,18 @@ class Model:
         return score / score.sum()
 
 
-def train(texts: list[tuple[int, list[str]]], vocabulary: int = VOCABULARY) -> Model:
-    """texts: (level, words)."""
-    counts = {k: Counter() for k in LEVELS}
-    docs = Counter()
-    for level, ws in texts:
-        counts[level].update(ws)
-        docs[level] += 1
-    total = Counter()
-    for c in counts.values():
-        total.update(c)
-    names = [w for w, _ in sorted(total.items(), key=lambda x: (-x[1], x[0]))[:vocabulary]]
-    size = len(names) + 1
-    sums = {k: sum(c.values()) + SMOOTHING * size for k, c in counts.items()}
-    logs = np.array([[math.log((counts[k][w] + SMOOTHING) / sums[k]) for k in LEVELS] for w in names]).reshape(len(names), len(LEVELS))
-    other = np.array([math.log(SMOOTHING / sums[k]) for k in LEVELS])
-    prior = np.array([math.log((docs[k] + 1) / (len(texts) + len(LEVELS))) if docs[k] else -1e9 for k in LEVELS])
-    return Model({w: i for i, w in enumerate(names)}, logs, other, prior)
-
-
-def cuts_of(labelled: list[tuple[int, float]]) -> tuple[float, ...]:
+def model_of(words: list[tuple[str, list[float]]], totals: list[float], docs: list[float]) -> Model:
+    """words: (word, its count at each level); totals: all words of each level; docs: texts of each level."""
+    size = len(words) + 1
+    sums = np.array(totals) + SMOOTHING * size
+    logs = np.log((np.array([c for _, c in words], dtype=float).reshape(len(words), len(LEVELS)) + SMOOTHING) / sums)
+    n = np.array(docs, dtype=float)
+    prior = np.where(n > 0, np.log((n + 1) / (n.sum() + len(LEVELS))), -1e9)
+    return Model({w: i for i, (w, _) in enumerate(words)}, logs, np.log(SMOOTHING / sums), prior)
+
+
+def cuts_of(medians: dict[int, float]) -> tuple[float, ...]:
     """Where LIX parts the levels: half-way between the medians of neighbouring levels, else the fixed values."""
-    medians = {k: float(np.median([x for lv, x in labelled if lv == k])) for k in LEVELS if any(lv == k for lv, _ in labelled)}
     out = []
     for a, b, fixed in zip(LEVELS, LEVELS[1:], LIX_CUTS, strict=False):
         out.append((medians[a] + medians[b]) / 2 if a in medians and b in medians and medians[a] < medians[b] else fixed)
@@ -125,12 +118,31 @@ def level_of(x: float, cuts: tuple[float, ...]) -> int:
     return 1 + sum(x > c for c in cuts)
 
 
-def _sampled(df: DataFrame, key: str, bound: int) -> DataFrame:
-    """A sample of about ``bound`` rows by a hash of the key, and never more than twice as many."""
-    n = df.count()
-    if n > bound:
-        df = df.filter(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < int(1_000_000 * bound / n))
-    return df.limit(2 * bound)
+COUNTS = "kind string, lang string, level int, word string, n double"
+
+
+def _count(pdfs: Iterator[pd.DataFrame], cuts: tuple[float, ...] | None, wanted: set[tuple[str, int]] | None) -> Iterator[pd.DataFrame]:
+    """COUNTS of texts: 'w' words, 'd' documents, 'l' the LIX of one document. Without a level (cuts given) LIX tells it,
+    and only ``wanted`` (language, level) count."""
+    for pdf in pdfs:
+        words: Counter[tuple[str, int, str]] = Counter()
+        docs: Counter[tuple[str, int]] = Counter()
+        out = []
+        for text, lang, level in zip(pdf["text"], pdf["lang"], pdf["level"], strict=True):
+            x = lix(text)
+            if x is None:
+                continue
+            k = level_of(x, cuts) if cuts is not None else int(level)
+            if wanted is not None and (lang, k) not in wanted:
+                continue
+            if cuts is None:
+                out.append(("l", lang, k, None, x))
+            docs[lang, k] += 1
+            for w, n in Counter(words_of(text)).items():
+                words[lang, k, w] += n
+        out += [("d", lang, k, None, float(n)) for (lang, k), n in docs.items()]
+        out += [("w", lang, k, w, float(n)) for (lang, k, w), n in words.items()]
+        yield pd.DataFrame(out, columns=["kind", "lang", "level", "word", "n"])
 
 
 def fit(documents: DataFrame, labels: DataFrame, languages: list[str] | None = None) -> dict[str, Model]:
@@ -138,33 +150,28 @@ def fit(documents: DataFrame, labels: DataFrame, languages: list[str] | None = N
 
     Labels of absent documents, levels outside 1 to 5 and NULL texts are left out; of several labels of a document the
     median counts (the lower of two)."""
-    documents = documents.select("doc_id", "text", "lang")
+    own = languages or ["en"]
+    lang = F.when(F.col("lang").isin(*own), F.col("lang")).otherwise("und").alias("lang")
+    documents = documents.filter("text is not null").select("doc_id", "text", lang)
     ok = labels.filter(F.col("reading_level").between(1, 5)).groupBy("doc_id").agg(F.expr("percentile_disc(0.5) within group (order by reading_level)").cast("int").alias("level"))
-    some = _sampled(ok, "doc_id", PER_LEVEL * len(LEVELS))
-    got = documents.join(F.broadcast(some), "doc_id").filter("text is not null").select("doc_id", "text", "lang", "level").dropDuplicates(["doc_id"]).collect()
-    by_lang: dict[str, list[tuple[int, list[str]]]] = {}
-    scores = []
-    for r in got:
-        by_lang.setdefault(r.lang or "und", []).append((r.level, words_of(r.text)))
-        if (x := lix(r.text)) is not None:
-            scores.append((r.level, x))
-    cuts = cuts_of(scores)
-    models = {}
-    seeds: list | None = None
-    for lang in languages or ["en"]:
-        texts = [t for t in by_lang.get(lang, []) if t[1]]
-        have = Counter(k for k, _ in texts)
-        if any(have[k] < FEWEST for k in LEVELS):
-            if seeds is None:
-                short = documents.filter(F.col("text").isNotNull()).select("doc_id", "text", F.coalesce("lang", F.lit("und")).alias("lang"))
-                seeds = _sampled(short, "doc_id", SEEDS).collect()
-            own = [r for r in seeds if (r.lang if r.lang in (languages or ["en"]) else "und") == lang]
-            for r in own:
-                x = lix(r.text)
-                if x is not None and have[k := level_of(x, cuts)] < FEWEST:
-                    texts.append((k, words_of(r.text)))
-        models[lang] = train(texts) if texts else Model({}, np.zeros((0, 5)), np.zeros(5), np.zeros(5))
-    return models
+    labelled = documents.join(ok, "doc_id").dropDuplicates(["doc_id"]).select("text", "lang", "level")
+    counts = cut(labelled.mapInPandas(lambda it: _count(it, None, None), COUNTS), "counts")
+    cuts = cuts_of({r.level: r.x for r in counts.filter("kind = 'l'").groupBy("level").agg(F.median("n").alias("x")).collect()})
+    have = {(r.lang, r.level): r.n for r in counts.filter("kind = 'd'").groupBy("lang", "level").agg(F.sum("n").alias("n")).collect()}
+    seeded = {(x, k) for x in own for k in LEVELS if have.get((x, k), 0) < FEWEST}
+    if seeded:
+        seeds = documents.filter(F.col("lang").isin(*{x for x, _ in seeded})).select("text", "lang", F.lit(0).alias("level"))
+        counts = cut(counts.unionByName(seeds.mapInPandas(lambda it: _count(it, cuts, seeded), COUNTS)), "counts")
+    sums: dict[tuple[str, str, int], float] = {(r.kind, r.lang, r.level): r.n for r in counts.groupBy("kind", "lang", "level").agg(F.sum("n").alias("n")).collect()}
+    at = [F.sum(F.when(F.col("level") == k, F.col("n")).otherwise(0.0)).alias(f"n{k}") for k in LEVELS]
+    by_word = counts.filter("kind = 'w'").groupBy("lang", "word").agg(F.sum("n").alias("n"), *at)
+    order = [F.desc("n"), F.asc("word")]
+    for part in ([F.col("lang"), F.pmod(F.xxhash64("word"), F.lit(PARTS))], [F.col("lang")]):
+        by_word = by_word.withColumn("k", F.row_number().over(Window.partitionBy(*part).orderBy(*order))).filter(F.col("k") <= VOCABULARY)
+    words: dict[str, list[tuple[str, list[float]]]] = {}
+    for r in by_word.select("lang", "word", *[f"n{k}" for k in LEVELS]).toLocalIterator():
+        words.setdefault(r.lang, []).append((r.word, [r[f"n{k}"] for k in LEVELS]))
+    return {x: model_of(sorted(words.get(x, [])), [sums.get(("w", x, k), 0.0) for k in LEVELS], [sums.get(("d", x, k), 0.0) for k in LEVELS]) for x in own}
 
 
 def _score(pdfs: Iterator[pd.DataFrame], models: dict[str, Model]) -> Iterator[pd.DataFrame]:
@@ -188,9 +195,10 @@ def assign(documents: DataFrame, models: dict[str, Model]) -> DataFrame:
 
 def levels(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """Every document with its level, each language by its own models."""
-    langs = [r[0] for r in documents.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(50).select("lang").collect()]
-    langs = [x for x in langs if x is not None] + ["und"]
-    return assign(documents, fit(documents, labels, langs))
+    langs = sorted(r[0] for r in documents.filter("lang is not null").select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
+    if len(langs) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    return assign(documents, fit(documents, labels, [x for x in langs if x != "und"] + ["und"]))
 
 
 def english_levels(documents: DataFrame, labels: DataFrame, fewest_words: int = 60) -> DataFrame:

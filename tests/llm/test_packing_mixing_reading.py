@@ -67,6 +67,19 @@ def test_assignment(spark, docs):
     assert packing.assign(docs, kinds.limit(0)).count() == 0
 
 
+def test_capacities_of_one_kind(spark, docs):
+    """Two capacities of a kind are packed apart, each in containers of its own."""
+    kinds = spark.createDataFrame([("k", 16), ("k", 32)], "container_kind string, capacity_tokens int")
+    got = packing.assign(docs, kinds, shard=100)
+    held = {}
+    for r in got.collect():
+        held.setdefault((r.container_kind, r.container_id), []).append(r)
+    for rows in held.values():
+        assert len({r.capacity_tokens for r in rows}) == 1
+        assert sum(r.tokens for r in rows) <= rows[0].capacity_tokens
+    assert all(0 <= r.unused_share < 1 and r.fullest <= r.capacity_tokens for r in packing.summary(got).collect())
+
+
 def test_rake_meets_marginals():
     cells = [(s, k, t) for s in range(2) for k in range(2) for t in range(2)]
     mass = np.array([5.0, 3, 2, 7, 4, 4, 6, 1])
@@ -88,6 +101,11 @@ def test_mix(spark, docs):
         assert r.actual_tokens == sum(s.tokens * s.copies for s in sample if (s.mix_id, s.source) == k)
         assert abs(r.actual_tokens - r.target_tokens) <= 0.04 * r.target_tokens + 50
     assert report["m", "ghost"].actual_tokens == 0 and report["n", "x"].copies == 0
+    shares = {}
+    for r in mixing.marginals(docs, t).collect():
+        shares.setdefault((r.mix_id, r.dimension), []).append(r.actual_share)
+    assert set(shares) == {(m, d) for m in "mn" for d in ("lang", "topic")}
+    assert all(abs(sum(v) - 1) < 1e-4 for v in shares.values())
     assert mixing.mix(docs.limit(0), t)[0].count() == 0
     assert mixing.mix(docs, t.limit(0))[1].count() == 0
 
