@@ -33,8 +33,12 @@ _SPACE = re.compile(r" +")
 _CLOSE = re.compile(r' *(?:[;|\t\n\r,]|/ | & |& | and |$)')
 _BRACKETS = {"[": "]", "{": "}", "(": ")"}
 _TOKEN = re.compile(r"[^\W\d_]+|\d[\w]*|[^\w\s]|\s+|_", re.UNICODE)
-#: The longest value, in atoms. Longer ones are only found between hard separators or in quotes.
-MAX_SPAN = 8
+#: Log weight by which a value may fall behind its atoms before it isn't looked at any more.
+FAR = 8.0
+#: A field whose search by number of values had more states is split without that number.
+MOST_STATES = 20_000_000
+#: Shapes are alike from this many tokens on, so a value of more atoms is as likely as one of so many.
+SHAPE_TOKENS = 14
 #: Shapes rarer than this share of all values get the floor instead: so a model has at most 1/MIN_SHARE shapes.
 MIN_SHARE = 1e-5
 #: A row is in doubt when the second-best split is likelier than this.
@@ -45,7 +49,7 @@ _EPS = 1e-9
 
 
 def shape(value: str) -> str:
-    """The kinds of tokens of a value, at most 14 of them: W word, I initial, w lower-case word, D code, else the sign."""
+    """The kinds of tokens of a value, at most SHAPE_TOKENS of them: W word, I initial, w lower-case word, D code, else the sign."""
     out = []
     for t in value.split(" "):
         if not t:
@@ -64,7 +68,7 @@ def shape(value: str) -> str:
         else:
             k = "W"
         out.append(k + end)
-    return " ".join(out[:14])
+    return " ".join(out[:SHAPE_TOKENS])
 
 
 class Lattice:
@@ -157,18 +161,33 @@ class Model:
         return self.shapes.get(shape(value), self.floor)
 
 
-def _spans(lat: Lattice, score, model: Model) -> list[list[tuple[int, float]]]:
-    """For each atom, the values that end there: (first atom, log weight)."""
+def _spans(lat: Lattice, score, model: Model, most: int | None = None) -> list[list[tuple[int, float]]]:
+    """For each atom, the values that end there: (first atom, log weight).
+
+    With ``most``, values have at most so many atoms. Without, they may have any number: one is left out only where it
+    can't be part of a split worth a thought, as its inner separators alone weigh less, by FAR, than the same atoms apart."""
     out = []
+    apart: list[float] = []  # weight of each atom as a value of its own, with the border before it
+    total = 0.0
     for j in range(len(lat.starts)):
-        row, inside = [], 0.0
-        for i in range(j, max(-1, j - MAX_SPAN), -1):
+        row, inside, least = [], 0.0, 0.0
+        for i in range(j, -1 if most is None else max(-1, j - most), -1):
+            border = model.borders[lat.seps[i - 1]] if i else 0.0
             if i < j:
                 if lat.seps[i] == "H" or lat.quoted[i] or lat.quoted[j]:
                     break
                 inside += model.inner[lat.seps[i]]
+                least += apart[i]
+                if most is None and inside + border < least - FAR:
+                    if inside < total - FAR:  # nor can any that begins before
+                        break
+                    continue
             w = -1.0 if lat.quoted[i] else score(lat.value(i, j))
-            row.append((i, w + inside + (model.borders[lat.seps[i - 1]] if i else 0.0)))
+            if i == j:
+                apart.append(min(w + border, 0.0))
+                total += apart[j]
+                least = apart[j]
+            row.append((i, w + inside + border))
         out.append(row)
     return out
 
@@ -183,10 +202,14 @@ def best(lat: Lattice, score, model: Model, count: int | None) -> tuple[list[tup
     n = len(lat.starts)
     if not n:
         return [], 0.0
-    spans = _spans(lat, score, model)
+    counted = count is not None and 0 < count <= n
+    # of n atoms in ``count`` values none has more than n - count + 1
+    if counted and n * count * (n - count + 1) > MOST_STATES:
+        counted = False
+    spans = _spans(lat, score, model, n - count + 1 if counted else None)
     if all(len(r) == 1 for r in spans):
         return [(i, i) for i in range(n)], 0.0
-    if count is not None and 0 < count <= n:
+    if counted:
         # states are (atom, number of values); sums and maxima side by side
         top: list[dict[int, tuple[float, int]]] = [{0: (0.0, -1)}]
         sums: list[dict[int, float]] = [{0: 0.0}]

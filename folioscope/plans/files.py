@@ -93,22 +93,39 @@ def decision_topic_means(spark: SparkSession, d: str) -> DataFrame:
     return x.join(size, ["conference", "decision"]).select("conference", "decision", "topic", F.round(F.col("c") / F.col("n"), 6).alias("mean"))
 
 
+def _bucket() -> Column:
+    """The first that applies: strong reject, strong accept, reject, accept."""
+    raw, no = F.col("raw"), F.col("decision") == "reject"
+    return F.when(no & raw.contains("strong reject"), "pre-reject").when(raw.contains("strong accept"), "pre-accept").when(no, "reject").otherwise("accept")
+
+
 def priority_buckets(spark: SparkSession, d: str) -> DataFrame:
-    """Submissions by the first that applies: strong reject, strong accept, reject, accept."""
-    s = _submissions(spark, d)
-    b = F.when((F.col("decision") == "reject") & F.col("raw").contains("strong reject"), "pre-reject").when(F.col("raw").contains("strong accept"), "pre-accept").when(F.col("decision") == "reject", "reject").otherwise("accept")
-    return s.groupBy(b.alias("bucket")).agg(count_rows("submissions"))
+    """Submissions by bucket of priority."""
+    return _submissions(spark, d).groupBy(_bucket().alias("bucket")).agg(count_rows("submissions"))
 
 
 def reputation(spark: SparkSession, d: str) -> DataFrame:
-    """Citations of first authors, by name, of submissions: by conference and decision, and by decision (grouping sets).
-    Authors that the corpus doesn't know have 0; of equal names the most cited counts."""
+    """Citations of first authors, by name, of submissions: by conference and decision, and by decision (grouping sets
+    over one pass). Authors that the corpus doesn't know have 0; of equal names the most cited counts."""
     s = Star(spark, d)
     cites = s.slots.groupBy("person_id").agg(F.sum(F.coalesce("cited_count", F.lit(0))).alias("c")).join(s.persons, "person_id").groupBy("name").agg(F.max("c").alias("c"))
     x = _submissions(spark, d).select("conference", "decision", F.trim(F.split("authors", ",")[0]).alias("name")).join(cites, "name", "left")
     x = x.withColumn("c", F.coalesce("c", F.lit(0)))
-    stats = [F.median("c").alias("median"), F.max("c").alias("most"), F.min("c").alias("least"), count_rows("n")]
-    return x.groupBy("conference", "decision").agg(*stats).unionByName(x.groupBy(F.lit("All").alias("conference"), "decision").agg(*stats))
+    q = lambda p: F.percentile("c", F.lit(p))
+    got = x.groupingSets([[F.col("conference"), F.col("decision")], [F.col("decision")]], "conference", "decision").agg(
+        F.median("c").alias("median"), (q(0.75) - q(0.25)).alias("iqr"), F.max("c").alias("most"), F.min("c").alias("least"), count_rows("n"), F.grouping("conference").alias("all")
+    )
+    return got.withColumn("conference", F.when(F.col("all") == 1, "All").otherwise(F.col("conference"))).drop("all")
+
+
+def priority_topic_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Mean topic counts of submissions by bucket of priority, and by how much each differs from those of rejects."""
+    s = _submissions(spark, d).withColumn("bucket", _bucket())
+    size = s.groupBy("bucket").agg(count_rows("n"))
+    x = _sub_topics(s).join(s.select("line_id", "bucket"), "line_id").groupBy("bucket", "topic").agg(F.sum("cnt").alias("c")).join(size, "bucket")
+    x = x.select("bucket", "topic", (F.col("c") / F.col("n")).alias("mean"))
+    base = x.filter("bucket = 'reject'").select("topic", F.col("mean").alias("base"))
+    return x.join(base, "topic", "left").select("bucket", "topic", F.round("mean", 6).alias("mean"), F.round(F.col("mean") - F.coalesce("base", F.lit(0.0)), 6).alias("delta"))
 
 
 def author_index(spark: SparkSession, d: str) -> DataFrame:
@@ -136,7 +153,7 @@ def unsorted_edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def word_vectors(spark: SparkSession, d: str) -> DataFrame:
-    """Word2Vec (instead of first-order LINE) over all papers: the first coordinates of each word."""
+    """Word2Vec (instead of first-order LINE) over all papers: the vector of each word."""
     from pyspark.ml.feature import Word2Vec
 
     s = Star(spark, d)
@@ -144,7 +161,7 @@ def word_vectors(spark: SparkSession, d: str) -> DataFrame:
     v = Word2Vec(vectorSize=16, minCount=5, maxIter=1, seed=1, inputCol="words", outputCol="v").fit(docs).getVectors()
     from pyspark.ml.functions import vector_to_array
 
-    return v.select("word", F.slice(vector_to_array("vector"), 1, 4).alias("v"))
+    return v.select("word", vector_to_array("vector").alias("v"))
 
 
 def document_projection(spark: SparkSession, d: str) -> DataFrame:
@@ -157,7 +174,7 @@ def document_projection(spark: SparkSession, d: str) -> DataFrame:
     return x.select("vec_id", vector_to_array("p")[0].alias("x"), vector_to_array("p")[1].alias("y"))
 
 
-_FNS = [corpus_file_round_trip, edge_list_round_trip, tagged_text_round_trip, cluster_file_round_trip, html_round_trip, citation_update, decision_topic_means, priority_buckets, reputation, author_index, chi2_selected, unsorted_edges, word_vectors, document_projection]
+_FNS = [corpus_file_round_trip, edge_list_round_trip, tagged_text_round_trip, cluster_file_round_trip, html_round_trip, citation_update, decision_topic_means, priority_buckets, priority_topic_vectors, reputation, author_index, chi2_selected, unsorted_edges, word_vectors, document_projection]
 QUERIES = {f.__name__: f for f in _FNS}
 
 _SUB = _PARSED.rstrip() + ", sub AS (SELECT line_id, v[1] AS conference, v[3] AS title, v[4] AS authors, v[6] AS abstract, lower(v[8]) AS decision, lower(v[9]) AS raw FROM good_s)"
@@ -170,6 +187,8 @@ SQL = {
     "citation_update": "WITH r AS (SELECT paper_id, cited_count, row_number() OVER (PARTITION BY paper_id ORDER BY loaded_at, cited_count DESC NULLS LAST) AS k FROM papers) SELECT a.paper_id, coalesce(b.c, a.cited_count) AS cited_count FROM r a LEFT JOIN (SELECT paper_id, arg_max(cited_count, k) AS c FROM r WHERE k > 1 AND cited_count IS NOT NULL GROUP BY 1) b USING (paper_id) WHERE k = 1",
     "decision_topic_means": _SUB + ", sw AS (SELECT line_id, unnest(regexp_extract_all(lower(CASE WHEN abstract IN ('', 'None') THEN title ELSE abstract END), '[\\p{L}\\p{N}_]{3,}')) AS w FROM sub), n AS (SELECT conference, decision, count(*) AS n FROM sub GROUP BY 1, 2) SELECT conference, decision, CAST(length(w) % 11 AS INTEGER) AS topic, round(count(*) / any_value(n)::DOUBLE, 6) AS mean FROM sw JOIN sub USING (line_id) JOIN n USING (conference, decision) GROUP BY 1, 2, 3",
     "priority_buckets": _SUB + " SELECT CASE WHEN decision = 'reject' AND contains(raw, 'strong reject') THEN 'pre-reject' WHEN contains(raw, 'strong accept') THEN 'pre-accept' WHEN decision = 'reject' THEN 'reject' ELSE 'accept' END AS bucket, count(*) AS submissions FROM sub GROUP BY 1",
+    "priority_topic_vectors": _SUB + ", b AS (SELECT line_id, abstract, title, CASE WHEN decision = 'reject' AND contains(raw, 'strong reject') THEN 'pre-reject' WHEN contains(raw, 'strong accept') THEN 'pre-accept' WHEN decision = 'reject' THEN 'reject' ELSE 'accept' END AS bucket FROM sub), sw AS (SELECT line_id, bucket, unnest(regexp_extract_all(lower(CASE WHEN abstract IN ('', 'None') THEN title ELSE abstract END), '[\\p{L}\\p{N}_]{3,}')) AS w FROM b), m AS (SELECT bucket, CAST(length(w) % 11 AS INTEGER) AS topic, count(*) / any_value(n)::DOUBLE AS mean FROM sw JOIN (SELECT bucket, count(*) AS n FROM b GROUP BY 1) USING (bucket) GROUP BY 1, 2) SELECT m.bucket, m.topic, round(m.mean, 6) AS mean, round(m.mean - coalesce(r.mean, 0), 6) AS delta FROM m LEFT JOIN (SELECT * FROM m WHERE bucket = 'reject') r USING (topic)",
+    "reputation": _SUB.replace("WITH ", "WITH ", 1) + ", rn AS (SELECT person_id, name FROM (SELECT *, row_number() OVER (PARTITION BY person_id ORDER BY loaded_at DESC, name) k FROM persons) WHERE k = 1), rp AS (SELECT paper_id, cited_count FROM (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY loaded_at DESC, cited_count DESC NULLS LAST) k FROM papers) WHERE k = 1), rc AS (SELECT name, max(c) AS c FROM (SELECT person_id, sum(coalesce(cited_count, 0)) AS c FROM (SELECT DISTINCT paper_id, person_id FROM authorship WHERE person_id IS NOT NULL) JOIN rp USING (paper_id) GROUP BY 1) JOIN rn USING (person_id) GROUP BY 1), rx AS (SELECT conference, decision, CAST(coalesce(c, 0) AS BIGINT) AS c FROM sub LEFT JOIN rc ON rc.name = trim(split_part(authors, ',', 1))) SELECT CASE WHEN grouping(conference) = 1 THEN 'All' ELSE conference END AS conference, decision, median(c)::DOUBLE AS median, quantile_cont(c, 0.75)::DOUBLE - quantile_cont(c, 0.25)::DOUBLE AS iqr, max(c) AS most, min(c) AS least, count(*) AS n FROM rx GROUP BY GROUPING SETS ((conference, decision), (decision))",
     "author_index": STAR + " SELECT person_id, row_number() OVER (ORDER BY person_id) - 1 AS idx FROM (SELECT DISTINCT person_id FROM aut)",
     "unsorted_edges": "WITH a AS (SELECT DISTINCT paper_id, person_id, pos, loaded_at FROM authorship WHERE person_id IS NOT NULL), x AS (SELECT paper_id, pos, lag(pos) OVER (PARTITION BY paper_id ORDER BY loaded_at, pos, person_id) AS b FROM a) SELECT paper_id, count(*) AS out_of_order FROM x WHERE b > pos GROUP BY 1",
 }

@@ -14,10 +14,10 @@ from folioscope.common import clean
 from folioscope.operators.rejects import CORPUS
 
 
-def corpus_file(spark: SparkSession, path: str, sep: str = "$|$") -> DataFrame:
+def corpus_file(spark: SparkSession, path: str, sep: str = "$|$", header: bool = True) -> DataFrame:
     """The corpus file: header, a separator of three signs, no quoting, None for NULL; lists stay packed."""
     names = [c.lower() for c in CORPUS]
-    raw = spark.read.csv(path, sep=sep, header=True, quote="", escape="", schema=", ".join(f"`{c}` string" for c in names), multiLine=False)
+    raw = spark.read.csv(path, sep=sep, header=header, quote="", escape="", schema=", ".join(f"`{c}` string" for c in names), multiLine=False)
     v = {c: clean(c) for c in names}
     return raw.select(
         v["id"].cast("long").alias("paper_id"), v["venue"].cast("int").alias("venue_id"), (v["is_conference"] == "True").alias("is_conference"), v["year"].cast("int").alias("year"),
@@ -93,6 +93,19 @@ def coauthors_xml(payloads: DataFrame) -> DataFrame:
     return payloads.select("person", F.explode(F.xpath("xml", F.lit("//author/text()"))).alias("coauthor"))
 
 
+def publications_xml(payloads: DataFrame) -> DataFrame:
+    """payloads(person, xml): stored answers of a publication service → (person, key, title, year, home_page); the home
+    page is a record of its own kind."""
+    rec = "/dblpperson/r/*"
+    # of each record its key, title and year; an element that is absent is an empty string
+    n = F.xpath_int("xml", F.lit(f"count({rec})"))
+    keys = F.xpath("xml", F.lit(f"{rec}/@key"))
+    body = F.regexp_extract_all("xml", F.lit(r"(?s)<r>(.*?)</r>"), F.lit(1))
+    x = payloads.filter(n > 0).select("person", F.explode(F.arrays_zip(keys.alias("key"), body.alias("body"))).alias("r"))
+    of = lambda tag: F.regexp_extract("r.body", rf"(?s)<{tag}>(.*?)</{tag}>", 1)
+    return x.select("person", "r.key", F.nullif(of("title"), F.lit("")).alias("title"), of("year").try_cast("int").alias("year"), F.col("r.key").startswith("homepages/").alias("home_page"))
+
+
 def citation_counts_xml(payloads: DataFrame) -> DataFrame:
     """payloads(doi, xml): stored answers of a DOI registry → (doi, cited_count); NULL where there is none."""
     return payloads.select("doi", F.xpath_string("xml", F.lit("//*[local-name()='query']/@fl_count")).try_cast("int").alias("cited_count"))
@@ -178,6 +191,16 @@ def edge_list(spark: SparkSession, path: str) -> DataFrame:
     return x.filter("src is not null and dst is not null and src <> dst")
 
 
+def encoded_csv(spark: SparkSession, path: str, schema: str, encoding: str, header: bool = True, sep: str = ",") -> DataFrame:
+    """A delimited file in a given encoding, with quotes doubled inside of quotes."""
+    return spark.read.csv(path, schema=schema, encoding=encoding, header=header, sep=sep, quote='"', escape='"')
+
+
+def score_csv(spark: SparkSession, path: str) -> DataFrame:
+    """``k,score`` lines; lines without a number are left out."""
+    return spark.read.csv(path, schema="k int, score double").filter("k is not null")
+
+
 class _Cells(HTMLParser):
     def __init__(self):
         super().__init__()

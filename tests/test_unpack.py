@@ -54,6 +54,42 @@ def test_long_list_is_whole(values):
     assert len(values[503, "cites"]) == 5000
 
 
+def test_value_of_many_atoms():
+    """A value isn't cut because it is long: twelve atoms that belong together stay one where others are quoted alike."""
+    name = "Centre for " + ", ".join(f"Topic{chr(97 + i)}" for i in range(12))
+    model = unpack.Model({unpack.shape(name): 50.0, "W W": 50.0}, {"C": (1.0, 1000.0), "H": (10.0, 10.0)})
+    lat = unpack.Lattice(f"Jane Doe; {name}; Bo Li", False)
+    cuts, _ = unpack.best(lat, model.score, model, None)
+    assert [lat.value(i, j) for i, j in cuts] == ["Jane Doe", name, "Bo Li"]
+    cuts, _ = unpack.best(lat, model.score, model, 3)
+    assert [lat.value(i, j) for i, j in cuts] == ["Jane Doe", name, "Bo Li"]
+
+
+@settings(max_examples=60, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.sampled_from(["Jane Doe", "Doe", "J.", "and", "X1", "of Systems"]), min_size=1, max_size=9), st.sampled_from([None, 1, 2, 3]))
+def test_the_likeliest_split_is_found(parts, count):
+    """Against all splits there are."""
+    model = unpack.Model({"W W": 20.0, "W": 5.0, "I": 3.0, "D": 2.0, "W, I": 6.0, "W, W W": 1.0}, {"C": (6.0, 10.0), "A": (8.0, 10.0)})
+    lat = unpack.Lattice(", ".join(parts), False)
+    n = len(lat.starts)
+    if not n:
+        return
+    spans = {(i, j): w for j, row in enumerate(unpack._spans(lat, model.score, model, n)) for i, w in row}
+    best = None
+    for mask in range(1 << (n - 1)):
+        ends = [k for k in range(n - 1) if mask >> k & 1] + [n - 1]
+        cuts, at = [], 0
+        for e in ends:
+            cuts.append((at, e))
+            at = e + 1
+        if count is not None and count <= n and len(cuts) != count or any(c not in spans for c in cuts):
+            continue
+        w = sum(spans[c] for c in cuts)
+        best = w if best is None else max(best, w)
+    got, _ = unpack.best(lat, model.score, model, count)
+    assert best is None or sum(spans[c] for c in got) == pytest.approx(best)
+
+
 def test_empty_table(make_papers, table):
     assert unpack.unpack_papers(table.limit(0)).count() == 0
 
