@@ -33,6 +33,8 @@ class State:
     parents: DataFrame
     seen: DataFrame
     pending: DataFrame
+    #: What the last step added to seen.
+    added: DataFrame | None = None
 
 
 def empty_state(spark: SparkSession) -> State:
@@ -82,15 +84,18 @@ def step(state: State, refs: DataFrame, arrivals: DataFrame, start: str | None,
         return df.select(*REF_COLS, F.lit(name).alias("event"), F.col(at).alias("at"))
 
     comes = (F.col("first_at") > F.col("came_at")) & (F.col("first_at") >= lo) & (F.col("deleted_at").isNull() | (F.col("deleted_at") > F.col("first_at")))
+    # a parent that is delivered late, with an arrival before this slice, resolves what waits for it when it is learnt of
+    since = F.greatest("first_at", "came_at", lo)
+    settled = waiting.withColumn("learnt", since).filter(F.col("first_at").isNotNull() & (F.col("deleted_at").isNull() | (F.col("deleted_at") > F.col("learnt"))))
     events = (
         event(probed.filter(~_live(F.col("came_at"))), "opened", "came_at")
         .unionByName(event(probed.filter(comes), "resolved", "first_at"))
-        .unionByName(event(waiting.filter(comes), "resolved", "first_at"))
+        .unionByName(event(settled, "resolved", "learnt"))
         .unionByName(event(back, "reopened", "deleted_at"))
     )
     still = [x.filter(~_live(hi)).select(*REF_COLS) for x in (waiting, probed, back)]
     pending = still[0].unionByName(still[1]).unionByName(still[2]).distinct()
-    return State(index, seen, cut(pending, "pending")), events
+    return State(index, seen, cut(pending, "pending"), probed.select(*REF_COLS)), events
 
 
 def maintain(refs: DataFrame, parents: DataFrame, slices: int = 3) -> tuple[State, DataFrame, DataFrame]:

@@ -6,7 +6,8 @@ import pytest
 
 import __spark_entry__ as entry
 
-SLOW = {"classifier_cv", "lda_topics", "lda_likelihood", "topic_overlap", "word_vectors", "p1_transitions_by_month", "p1_orphans_by_month"}
+#: Minutes each; the driver runs them.
+SLOW = {"classifier_cv", "venue_prediction", "lda_topics", "lda_likelihood", "topic_overlap", "word_vectors", "p1_transitions_by_month", "p1_orphans_by_month"}
 NAMES = sorted(set(entry.queries()) - SLOW)
 
 
@@ -36,6 +37,9 @@ def test_same_as_sql(spark, sf, duck, name):
     assert ours == theirs
 
 
-@pytest.mark.parametrize("name", [n for n in NAMES if n not in entry.oracle_sql() and not n.startswith("p")])
+@pytest.mark.parametrize("name", [n for n in NAMES if n not in entry.oracle_sql() and not (n[0] == "p" and n[1:2].isdigit())])
 def test_runs(spark, sf, name):
-    assert entry.queries()[name](spark, sf).count() >= 0
+    """Rows come out, each once, with distinct columns (values are checked on small fixtures)."""
+    df = entry.queries()[name](spark, sf)
+    rows = [str(r) for r in df.collect()]
+    assert rows and len(set(rows)) == len(rows) and len(set(df.columns)) == len(df.columns)

@@ -69,3 +69,48 @@ def test_stream(spark, tables):
     got = {(r.event, r.paper_id) for r in s.events.collect()}
     assert got == {("opened", 1), ("resolved", 1), ("reopened", 2), ("opened", 3)}
     assert {r.paper_id for r in s.state.pending.collect()} == {2, 3}
+
+
+STREAM = "kind string, src_field string, paper_id long, ref_key string, at timestamp, deleted_at timestamp"
+
+
+def test_stream_goes_on_after_a_restart(spark, tmp_path):
+    """State outlives the object, and a batch that comes again counts once."""
+    from folioscope.streaming.ingest import OrphanStream
+
+    home = str(tmp_path / "orphans")
+    one = spark.createDataFrame([("ref", "f", 1, "k", t(1), None), ("ref", "f", 2, "j", t(1), None)], STREAM)
+    two = spark.createDataFrame([("parent", "f", None, "k", t(2), None), ("ref", "f", 1, "k", t(2), None)], STREAM)
+    OrphanStream(spark, home).process(one, 0)
+    again = OrphanStream(spark, home)
+    assert again.batch == 0 and again.state.pending.count() == 2
+    again.process(one, 0)
+    again.process(two, 1)
+    again.process(two, 1)
+    last = OrphanStream(spark, home)
+    assert sorted((r.event, r.paper_id) for r in last.events.collect()) == [("opened", 1), ("opened", 2), ("resolved", 1)]
+    assert [r.paper_id for r in last.state.pending.collect()] == [2]
+
+
+def test_stream_of_files(spark, tmp_path):
+    """The same through a query over files, stopped and started again."""
+    from folioscope.streaming.ingest import OrphanStream
+
+    src, home, marks = (str(tmp_path / x) for x in ("in", "home", "marks"))
+    stream = lambda: spark.readStream.schema(STREAM).parquet(src)
+    spark.createDataFrame([("ref", "f", 1, "k", t(1), None)], STREAM).write.mode("append").parquet(src)
+    OrphanStream(spark, home).start(stream(), marks).awaitTermination()
+    spark.createDataFrame([("parent", "f", None, "k", t(3), None)], STREAM).write.mode("append").parquet(src)
+    s = OrphanStream(spark, home)
+    s.start(stream(), marks).awaitTermination()
+    assert sorted(r.event for r in s.events.collect()) == ["opened", "resolved"]
+
+
+def test_late_parent_resolves_with_an_event(spark):
+    from folioscope.streaming.ingest import OrphanStream
+
+    s = OrphanStream(spark)
+    s.process(spark.createDataFrame([("ref", "f", 1, "k", t(5), None), ("ref", "f", 9, "x", t(9), None)], STREAM))
+    s.process(spark.createDataFrame([("parent", "f", None, "k", t(7), None), ("ref", "f", 8, "y", t(12), None)], STREAM))
+    assert ("resolved", 1) in {(r.event, r.paper_id) for r in s.events.collect()}
+    assert {r.paper_id for r in s.state.pending.collect()} == {8, 9}
