@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 import atexit
-import math
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A key is "hot" when it holds more than this share of the rows; so there are at most 1/HOT_SHARE hot keys.
 HOT_SHARE = 1 / 2000
+#: Tables written by cut() in this session.
+_CUTS: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,9 +38,18 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     costs nothing that was finished before."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _CUTS.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_cuts(spark: SparkSession) -> None:
+    """Remove the tables that cut() wrote in this session: once no result that reads them is needed any more."""
+    jvm = spark._jvm
+    while _CUTS:
+        path = jvm.org.apache.hadoop.fs.Path(_CUTS.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def clean(c: Column | str) -> Column:
     """NULL, the empty string and the word None all stand for no value."""
     c = F.col(c) if isinstance(c, str) else c
@@ -83,16 +92,3 @@ def by_range(values: list[float], x: Column, names: list[str]) -> Column:
 
 def parallelism(spark: SparkSession) -> int:
     return max(1, spark.sparkContext.defaultParallelism)
-
-
-def fold(n: int, step: Callable[[DataFrame, int], DataFrame], start: DataFrame, every: int = 2) -> DataFrame:
-    """Apply step n times and cut the lineage every few times."""
-    for i in range(n):
-        start = step(start, i)
-        if (i + 1) % every == 0 and i + 1 < n:
-            start = cut(start, "fold")
-    return start
-
-
-def log2(x: float) -> float:
-    return math.log2(x)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.common import cut, table
+from folioscope.functions import scalar
 from folioscope.operators import community, ml, stats, text
 from folioscope.operators.relational import ranked
 from folioscope.operators.star import TOPICS, Star
@@ -184,7 +185,29 @@ def venue_prediction(spark: SparkSession, d: str, folds: tuple[int, ...] | None
     return got.groupBy("pre", "classifier").agg(*cols)
 
 
-_FNS = [papers_without_ignored, title_and_abstract, allowed_hosts, papers_by_venue, papers_by_author, top_authors_by_name, document_vectors, first_seen_dictionary, vocabulary_with_unknown, venues_by_topic_weight, dictionary_update, papers_by_venue_group, papers_with_titles, edge_batches, word_links_both_ways, communities_kept, communities_by_fomd, gender_topic_different, venue_prediction]
+def scalar_functions(spark: SparkSession, d: str) -> DataFrame:
+    """Truth from text, numbers where text holds one, logarithms of positive numbers, the logistic curve and harmonic
+    weights, for every paper."""
+    x = F.coalesce("cited_count", F.lit(0)).cast("double")
+    p = Star(spark, d).papers.select("paper_id", "is_conference", x.alias("c"))
+    return p.select(
+        "paper_id",
+        scalar.is_true(F.col("is_conference")).alias("truth"),
+        scalar.number_if_possible(F.when(F.pmod("paper_id", F.lit(3)) == 0, "n/a").otherwise(F.col("paper_id").cast("string"))).alias("number"),
+        F.round(scalar.safe_log(F.col("c") - 3), 6).alias("ln"),
+        F.round(scalar.sigmoid(F.col("c") / 10 - 1), 6).alias("logistic"),
+        F.round(F.element_at(scalar.harmonic_weights((F.pmod("paper_id", F.lit(4)) + 1).cast("int")), -1), 6).alias("last_weight"),
+    )
+
+
+def plain_names(spark: SparkSession, d: str) -> DataFrame:
+    """Names of people down to their plain letters, and of venues in their short form."""
+    s = Star(spark, d)
+    people = s.persons.filter("name is not null").select(F.lit("person").alias("kind"), F.col("person_id").cast("long").alias("id"), scalar.plain_letters("name").alias("plain"))
+    return people.unionByName(s.venues.select(F.lit("venue").alias("kind"), F.col("venue_id").cast("long").alias("id"), scalar.short_venue(F.col("acronym")).alias("plain")))
+
+
+_FNS = [scalar_functions, plain_names, papers_without_ignored, title_and_abstract, allowed_hosts, papers_by_venue, papers_by_author, top_authors_by_name, document_vectors, first_seen_dictionary, vocabulary_with_unknown, venues_by_topic_weight, dictionary_update, papers_by_venue_group, papers_with_titles, edge_batches, word_links_both_ways, communities_kept, communities_by_fomd, gender_topic_different, venue_prediction]
 QUERIES = {f.__name__: f for f in _FNS}
 
 _PLACES = STAR + ", uses AS (SELECT w AS term, count(*) AS uses FROM wrd WHERE w IS NOT NULL GROUP BY 1), places AS (SELECT *, row_number() OVER (ORDER BY uses DESC, term COLLATE \"C\") AS place FROM uses)"
@@ -202,6 +225,7 @@ _REACH = "WITH RECURSIVE" + _EDGES.split("WITH", 1)[1] + (
 )
 _GROUP = "substr('" + GROUPS + f"', CAST(venue_id % {len(GROUPS)} AS INTEGER) + 1, 1)"
 SQL = {
+    "scalar_functions": STAR + ", x AS (SELECT paper_id, is_conference, coalesce(cited_count, 0)::DOUBLE AS c, CAST(paper_id % 4 + 1 AS INTEGER) AS n FROM pap) SELECT paper_id, coalesce(is_conference, false) AS truth, CASE WHEN paper_id % 3 <> 0 THEN paper_id::DOUBLE END AS number, round(CASE WHEN c > 3 THEN ln(c - 3) END, 6) AS ln, round(1 / (1 + exp(-(c / 10 - 1))), 6) AS logistic, round((1.0::DOUBLE / n) / list_sum([1.0::DOUBLE / i FOR i IN range(1, n + 1)]), 6) AS last_weight FROM x",
     "papers_without_ignored": STAR + f" SELECT acronym, count(*) AS papers FROM pap JOIN ven USING (venue_id) WHERE acronym NOT IN {IGNORED} GROUP BY 1",
     "title_and_abstract": STAR + " SELECT paper_id, length(title) + coalesce(2 + length(abstract), 0) AS n FROM pap WHERE title IS NOT NULL",
     "allowed_hosts": STAR + f" SELECT regexp_extract(doi_url, '^[a-z]+://([^/]+)', 1) AS host, count(*) AS papers FROM pap WHERE regexp_extract(doi_url, '^[a-z]+://([^/]+)', 1) NOT IN {('', *DENIED)} GROUP BY 1",

@@ -198,3 +198,36 @@ def test_places(spark):
     assert got == {x: k for k, x in enumerate(want, 1)}
     assert {r.id for r in top_percent(df, 0.05, F.desc("v"), F.asc("id")).collect()} == set(want[:50])
     assert top_percent(df.limit(0), 0.5, F.desc("v"), F.asc("id")).count() == 0
+
+
+def test_plain_letters(spark):
+    from folioscope.functions import scalar
+
+    df = spark.createDataFrame([("Réka O'Brünn-Łuk 3",), (None,), ("",)], "n string")
+    assert [r.p for r in df.select(scalar.plain_letters("n").alias("p")).collect()] == ["rekaobrunnuk", None, ""]
+
+
+@pytest.mark.parametrize(("name", "want"), [("J. Ann-Marie Smith", "ann"), ("Smith", "smith"), ("J. K.", "k")])
+def test_first_name(spark, name, want):
+    from pyspark.sql import functions as F
+
+    from folioscope.functions import scalar
+
+    assert spark.createDataFrame([(name,)], "n string").select(scalar.first_name(F.col("n")).alias("p")).first().p == want
+
+
+def test_complete_linkage():
+    """Against a plain search over pairs of clusters."""
+    from folioscope.plans.topics import complete_linkage
+
+    rng = np.random.default_rng(3)
+    v = {k: list(rng.random(3)) for k in range(9)}
+    got = complete_linkage(v)
+    clusters, want = {k: [k] for k in v}, []
+    far = lambda a, b: max(np.linalg.norm(np.subtract(v[x], v[y])) for x in clusters[a] for y in clusters[b])
+    while len(clusters) > 1:
+        d, a, b = min((far(a, b), a, b) for a in clusters for b in clusters if a < b)
+        clusters[a] += clusters.pop(b)
+        want.append((len(want) + 1, a, b, round(float(d), 6), len(clusters[a])))
+    assert [(s, i, j, n) for s, i, j, _, n in got] == [(s, i, j, n) for s, i, j, _, n in want]
+    assert np.allclose([r[3] for r in got], [r[3] for r in want], atol=1e-6)
