@@ -19,7 +19,9 @@ import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import islice
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,13 +32,12 @@ from folioscope.common import clean, cut
 HARD = ";|\t\n\r"
 _SOFT = re.compile(r" *(?:[;|\t\n\r]| / | & |,(?: *(?:and|und|&) )?| (?:and|und) )[ ;|\t\n\r,]*(?:(?<=[ ,;])(?:and|&) )? *")
 _SPACE = re.compile(r" +")
+_WORD = re.compile(r"[^ ]+")
 _CLOSE = re.compile(r' *(?:[;|\t\n\r,]|/ | & |& | and |$)')
 _BRACKETS = {"[": "]", "{": "}", "(": ")"}
 _TOKEN = re.compile(r"[^\W\d_]+|\d[\w]*|[^\w\s]|\s+|_", re.UNICODE)
 #: Log weight by which a value may fall behind its atoms before it isn't looked at any more.
 FAR = 8.0
-#: A field whose search by number of values had more states is split without that number.
-MOST_STATES = 20_000_000
 #: Shapes are alike from this many tokens on, so a value of more atoms is as likely as one of so many.
 SHAPE_TOKENS = 14
 #: Shapes rarer than this share of all values get the floor instead: so a model has at most 1/MIN_SHARE shapes.
@@ -51,9 +52,8 @@ _EPS = 1e-9
 def shape(value: str) -> str:
     """The kinds of tokens of a value, at most SHAPE_TOKENS of them: W word, I initial, w lower-case word, D code, else the sign."""
     out = []
-    for t in value.split(" "):
-        if not t:
-            continue
+    for m in islice(_WORD.finditer(value), SHAPE_TOKENS):
+        t = m.group()
         end = t[-1] if t[-1] in ",&" else ""
         t = t.rstrip(",")
         core = t.rstrip(".")
@@ -68,7 +68,7 @@ def shape(value: str) -> str:
         else:
             k = "W"
         out.append(k + end)
-    return " ".join(out[:SHAPE_TOKENS])
+    return " ".join(out)
 
 
 class Lattice:
@@ -161,12 +161,11 @@ class Model:
         return self.shapes.get(shape(value), self.floor)
 
 
-def _spans(lat: Lattice, score, model: Model, most: int | None = None) -> list[list[tuple[int, float]]]:
+def _spans(lat: Lattice, score, model: Model, most: int | None = None) -> Iterator[list[tuple[int, float]]]:
     """For each atom, the values that end there: (first atom, log weight).
 
     With ``most``, values have at most so many atoms. Without, they may have any number: one is left out only where it
     can't be part of a split worth a thought, as its inner separators alone weigh less, by FAR, than the same atoms apart."""
-    out = []
     apart: list[float] = []  # weight of each atom as a value of its own, with the border before it
     total = 0.0
     for j in range(len(lat.starts)):
@@ -188,8 +187,7 @@ def _spans(lat: Lattice, score, model: Model, most: int | None = None) -> list[l
                 total += apart[j]
                 least = apart[j]
             row.append((i, w + inside + border))
-        out.append(row)
-    return out
+        yield row
 
 
 def _lse(xs: list[float]) -> float:
@@ -197,40 +195,61 @@ def _lse(xs: list[float]) -> float:
     return m + math.log(sum(math.exp(x - m) for x in xs))
 
 
+def _counted(lat: Lattice, score, model: Model, count: int) -> tuple[list[tuple[int, int]], float] | None:
+    """The likeliest split into ``count`` values and the share of the weight that others into so many have; None where
+    there is none. States are (atom, number of values): of those numbers only, from which ``count`` can be reached, one
+    vector an atom, maxima and sums side by side; so a field of any length is searched whole."""
+    n = len(lat.starts)
+    # stretches that no value goes beyond: how many begin before an atom, and how many hold atoms from it on
+    begins = [not j or lat.seps[j - 1] == "H" or lat.quoted[j - 1] or lat.quoted[j] for j in range(n)]
+    before = np.concatenate([[0], np.cumsum(begins)])
+    all_ = int(before[n])
+    at = np.arange(n + 1)
+    rest = all_ - before + np.append(~np.array(begins), False)
+    low, high = np.maximum(before, count - (n - at)), np.minimum(at, count - rest)
+    if low[n] > high[n] or low[0] > high[0]:
+        return None
+    low, high = low.tolist(), high.tolist()
+    top, sums, back = [np.zeros(1)], [np.zeros(1)], [np.zeros(0, np.int32)]
+    # of n atoms in ``count`` values none has more than n - count + 1
+    for j, row in enumerate(_spans(lat, score, model, n - count + 1), 1):
+        wide = max(0, high[j] - low[j] + 1)
+        t, s, b = np.full(wide, -np.inf), np.full(wide, -np.inf), np.full(wide, -1, np.int32)
+        for i, w in row:
+            first, last = max(low[i] + 1, low[j]), min(high[i] + 1, high[j])
+            if first > last:
+                continue
+            here, there = slice(first - low[j], last - low[j] + 1), slice(first - 1 - low[i], last - low[i])
+            x = top[i][there] + w
+            b[here][x > t[here]] = i
+            np.maximum(t[here], x, out=t[here])
+            s[here] = np.logaddexp(s[here], sums[i][there] + w)
+        top.append(t)
+        sums.append(s)
+        back.append(b)
+    cuts, j, k = [], n, count
+    while j > 0:
+        i = int(back[j][k - low[j]])
+        if i < 0:
+            return None
+        cuts.append((i, j - 1))
+        j, k = i, k - 1
+    return cuts[::-1], max(0.0, 1 - math.exp(float(top[n][count - low[n]] - sums[n][count - low[n]])))
+
+
 def best(lat: Lattice, score, model: Model, count: int | None) -> tuple[list[tuple[int, int]], float]:
     """The likeliest split (into ``count`` values where one exists), and the share of the weight that others have."""
     n = len(lat.starts)
     if not n:
         return [], 0.0
+    if count == n:
+        return [(i, i) for i in range(n)], 0.0
     counted = count is not None and 0 < count <= n
-    # of n atoms in ``count`` values none has more than n - count + 1
-    if counted and n * count * (n - count + 1) > MOST_STATES:
-        counted = False
-    spans = _spans(lat, score, model, n - count + 1 if counted else None)
+    if counted and (got := _counted(lat, score, model, count)) is not None:
+        return got
+    spans = list(_spans(lat, score, model, n - count + 1 if counted else None))
     if all(len(r) == 1 for r in spans):
         return [(i, i) for i in range(n)], 0.0
-    if counted:
-        # states are (atom, number of values); sums and maxima side by side
-        top: list[dict[int, tuple[float, int]]] = [{0: (0.0, -1)}]
-        sums: list[dict[int, float]] = [{0: 0.0}]
-        for j in range(n):
-            t: dict[int, tuple[float, int]] = {}
-            s: dict[int, list[float]] = defaultdict(list)
-            for i, w in spans[j]:
-                for k, (v, _) in top[i].items():
-                    if k < count:
-                        if k + 1 not in t or v + w > t[k + 1][0]:
-                            t[k + 1] = (v + w, i)
-                        s[k + 1].append(sums[i][k] + w)
-            top.append(t)
-            sums.append({k: _lse(x) for k, x in s.items()})
-        if count in top[n]:
-            cuts, j, k = [], n, count
-            while j > 0:
-                i = top[j][k][1]
-                cuts.append((i, j - 1))
-                j, k = i, k - 1
-            return cuts[::-1], max(0.0, 1 - math.exp(top[n][count][0] - sums[n][count]))
     v, back, tot = [0.0], [-1], [0.0]
     for j in range(n):
         opts = [(v[i] + w, i) for i, w in spans[j]]

@@ -102,3 +102,14 @@ def test_codes_round_trip(items, sep, quoted):
     model = unpack.Model({"D": 10.0, "W": 1.0, "w": 1.0}, {})
     cuts, _ = unpack.best(lat, model.score, model, None)
     assert [lat.value(i, j) for i, j in cuts] == items
+
+
+def test_long_field_is_split_into_its_number_of_values():
+    """The number of values counts in a field of any length, and in a list of two thousand names."""
+    model = unpack.Model({"W": 50.0, "W, W": 1.0}, {"C": (9.0, 10.0)})
+    for names, sep in ((300, ", "), (2000, "; ")):
+        text = sep.join(["Doe, Jane"] * (names - 1) + ["Plato"])
+        lat = unpack.Lattice(text, False)
+        cuts, _ = unpack.best(lat, model.score, model, names)
+        assert len(lat.starts) == 2 * names - 1 and len(cuts) == names
+        assert [x for i, j in cuts for x in range(i, j + 1)] == list(range(2 * names - 1))
