@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import uuid
 from collections.abc import Iterator
+from urllib.parse import urlparse
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -230,12 +233,15 @@ def last_record_by_title(spark: SparkSession, d: str) -> DataFrame:
 
 
 def jdbc_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    """Venues into an embedded relational database in batches, and back in slices of their key."""
-    url = f"jdbc:derby:memory:folioscope{uuid.uuid4().hex};create=true"
-    v = table(spark, d, "venues").select("venue_id", "impact", "is_conference")
+    """Venues into an embedded relational database in batches, and back in slices of their key. Only one process may write to
+    such a database: the driver does, and the executors read it from an archive, which many may open."""
+    path = urlparse(_path(spark, "venues")).path
+    os.makedirs(path)
     driver = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
-    sinks.jdbc(v, url, "venues", 20, **driver)
-    return readers.jdbc(spark, url, "venues", "venue_id", 1, 61, 4, **driver)
+    v = table(spark, d, "venues").select("venue_id", "impact", "is_conference")
+    sinks.embedded_jdbc(v, f"jdbc:derby:{path}/db;create=true", "venues", 20, **driver)
+    archive = shutil.make_archive(path, "zip", path, "db")
+    return readers.jdbc(spark, f"jdbc:derby:jar:({archive})db", "venues", "venue_id", 1, 61, 4, **driver)
 
 
 def multimap_round_trip(spark: SparkSession, d: str) -> DataFrame:
