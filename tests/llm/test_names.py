@@ -153,3 +153,14 @@ def test_components(spark):
     edges = [(1, 2), (2, 3), (3, 4), (7, 8), (8, 7), (9, 9)] + [(20 + i, 21 + i) for i in range(30)]
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
     assert got == {1: 1, 2: 1, 3: 1, 4: 1, 7: 7, 8: 7} | {20 + i: 20 for i in range(31)}
+
+
+def test_hot_keys_lose_no_link(spark):
+    """Nicknames, mistyped first letters, a lone hot name, and a hot given name with an initial: links of hot keys all the same."""
+    people = [(1, "Bob Lindqvist"), (2, "Robert Lindqvist"), (3, "Karen Lindqvist"), (4, "Aaren Lindqvist"), (5, "Petra D."), (6, "Petra Dalgen"), (7, "Lindqvist"), (8, "Quentin Lindqvist")]
+    people += [(20 + i, f"{chr(97 + i) * 3}elin {chr(97 + i) * 4}zzqkwort") for i in range(12)]
+    people += [(100 + i, f"{chr(97 + i % 26)}{chr(97 + i // 26)}qo Lindqvist") for i in range(80)] + [(300 + i, f"Petra {chr(97 + i % 26)}{chr(97 + i // 26)}pof") for i in range(80)]
+    crews = {1: [20, 21, 22], 2: [20, 21, 22], 3: [23, 24], 4: [23, 24], 5: [25, 26], 6: [25, 26], 7: [27, 28, 29], 8: [27, 28, 29]}
+    p, a, _ = _people(spark, people, {k: [k, *v] for k, v in crews.items()})
+    got = {tuple(r) for r in names.pairs(names.clusters(p, a, spark.createDataFrame([("Bob", "Robert")], "nickname string, given_name string"))).collect()}
+    assert {(x, y) for x, y in got if x < 20} == {(1, 2), (3, 4), (5, 6), (7, 8)}
